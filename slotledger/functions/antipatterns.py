@@ -21,18 +21,15 @@ def rule_flags(sql: Column) -> dict[str, Column]:
     return flags
 
 
-def _found(sql: Column, labels: dict[str, str]) -> Column:
-    flags = rule_flags(sql)
-    return F.array_compact(
-        F.array(*[F.when(flags[code], F.lit(labels[code])) for code in RULE_CODES])
-    )
-
-
 def finding_codes(sql: Column) -> Column:
-    """Array of the codes of the rules that ``sql`` breaks."""
-    return _found(sql, {code: code for code in RULE_CODES})
+    """Array of the codes of the rules that ``sql`` breaks, in rule order."""
+    flags = rule_flags(sql)
+    return F.array_compact(F.array(*[F.when(flags[code], F.lit(code)) for code in RULE_CODES]))
 
 
-def findings(sql: Column) -> Column:
-    """Array of finding texts, one per rule that ``sql`` breaks."""
-    return _found(sql, {rule[0]: rule[3] for rule in fv.ANTIPATTERN_RULES})
+def finding_texts(codes: Column) -> Column:
+    """Array of the finding texts of an array of rule codes."""
+    texts = F.create_map(
+        *[F.lit(value) for code, _, _, text in fv.ANTIPATTERN_RULES for value in (code, text)]
+    )
+    return F.transform(codes, lambda code: texts[code])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger import fixed_values as fv
-from slotledger.functions.antipatterns import finding_codes, findings
+from slotledger.functions.antipatterns import finding_codes, finding_texts
 from slotledger.functions.clock import last_days
 from slotledger.functions.measures import gib, slot_hours
 from slotledger.functions.topk import best_per_text
@@ -19,8 +19,8 @@ def detect_antipatterns(texts: DataFrame, column: str = "query") -> DataFrame:
 
     Map-only: the rules are native columns, evaluated where the text is read.
     """
-    return texts.withColumns(
-        {"rule_codes": finding_codes(F.col(column)), "findings": findings(F.col(column))}
+    return texts.withColumn("rule_codes", finding_codes(F.col(column))).withColumn(
+        "findings", finding_texts(F.col("rule_codes"))
     )
 
 
@@ -34,7 +34,7 @@ def antipattern_queries(
         .select("user_email", "job_id", "query", "total_bytes_processed", "total_slot_ms")
     )
     heaviest = best_per_text(selects, "query", "total_slot_ms", k, F.col("job_id"))
-    found = findings(F.col("query"))
+    found = finding_texts(finding_codes(F.col("query")))
     none = F.array(F.lit(fv.NO_ANTIPATTERN))
     return heaviest.select(
         "user_email",

@@ -50,19 +50,22 @@ def recent_table_users(
     """Latest distinct uses of one table, both ends of the window included.
 
     Testing the reference array in place gives the rows an explode and a
-    ``distinct`` would, without multiplying them first.
+    ``distinct`` would, without multiplying them first, and reads only the
+    name leaves of the array.
     """
     dataset, table = parse_table_name(table_name)
     end = resolve(as_of)
-
-    def named(ref):
-        match = ref["table_id"] == table
-        return match if dataset is None else match & (ref["dataset_id"] == dataset)
-
+    tables = F.col("referenced_tables.table_id")
+    used = F.array_contains(tables, table)
+    if dataset is not None:
+        datasets = F.col("referenced_tables.dataset_id")
+        wanted = F.struct(F.lit(dataset).alias("dataset_id"), F.lit(table).alias("table_id"))
+        pairs = F.arrays_zip(datasets.alias("dataset_id"), tables.alias("table_id"))
+        used = F.array_contains(pairs, wanted)
     uses = (
         since(jobs, "creation_time", end - timedelta(days=days), inclusive=True)
         .where(F.col("creation_time") <= F.lit(end))
-        .where(F.exists("referenced_tables", named))
+        .where(used)
         .select("user_email", "creation_time", "query")
     )
     return newest_distinct(uses, "creation_time", k, F.col("user_email"), F.col("query"))
