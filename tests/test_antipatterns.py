@@ -11,7 +11,7 @@ AS_OF = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
 
 CASES = [
     ("select *\n from t", {"SELECT_STAR"}),
-    ("SELECT * FROM t", {"SELECT_STAR"}),
+    ("SELECT\u00a0*\u2003FROM t", {"SELECT_STAR"}),
     ("select a.* from t", set()),
     ("select a from t order by rand() limit 5", {"ORDER_BY_RAND"}),
     ("select a from t order by a", {"ORDER_WITHOUT_LIMIT"}),
