@@ -91,7 +91,6 @@ def _with(views: str, body: str) -> str:
 
 
 GIB = "1073741824e0"
-TIB = "1099511627776e0"
 HOURS = "3600000e0"
 
 
@@ -163,11 +162,19 @@ _LOGICALLY_BILLED = """
     WHERE t.total_physical_bytes > 0 AND (s.option_value = 'LOGICAL' OR s.option_value IS NULL)
 """
 _DAILY = f"""
-    SELECT CAST(creation_time AS DATE) AS usage_date,
-           CAST(sum(total_slot_ms) AS BIGINT) / {HOURS} AS slots,
-           CAST(sum(total_bytes_billed) AS BIGINT) / {TIB} AS billed
+    SELECT CAST(creation_time AS DATE) AS usage_date, sum(total_slot_ms) AS slots,
+           sum(total_bytes_billed) AS billed
     FROM jobs WHERE {_recent(30)} GROUP BY 1
 """
+
+
+def _daily_mean(column: str, unit: int, times: int = 1) -> str:
+    """Mean per day from whole numbers, so that ties round alike."""
+    return _round(
+        f"CAST(sum({column}) * {times} AS DOUBLE) / CAST(count({column}) * {unit} AS DOUBLE)", 2
+    )
+
+
 _MINUTES = f"""
     capacity AS (
       SELECT CAST(coalesce((SELECT sum(slot_capacity + coalesce(max_slots, 0)) FROM reservations
@@ -246,7 +253,7 @@ def _count(source: str, k: int) -> str:
 
 
 def _scan_sql() -> str:
-    number = f"(SELECT {_round('avg(slots) * 30', 2)} FROM ({_DAILY}))"
+    number = f"(SELECT {_daily_mean('slots', fv.MS_PER_HOUR, 30)} FROM ({_DAILY}))"
     checks = [
         (1, "cost", "forecast", f"CAST({number} AS VARCHAR)", fv.FINDING_FORECAST),
         (
@@ -391,10 +398,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "forecast_monthly_costs": c(
             "jobs",
-            f"""SELECT {_round('avg(slots)', 2)} AS avg_daily_slot_hours,
-                       {_round('avg(billed)', 2)} AS avg_daily_tb_billed,
-                       {_round('avg(slots) * 30', 2)} AS forecasted_monthly_slot_hours,
-                       {_round('avg(billed) * 30', 2)} AS forecasted_monthly_tb_billed,
+            f"""SELECT {_daily_mean('slots', fv.MS_PER_HOUR)} AS avg_daily_slot_hours,
+                       {_daily_mean('billed', fv.BYTES_PER_TIB)} AS avg_daily_tb_billed,
+                       {_daily_mean('slots', fv.MS_PER_HOUR, 30)} AS forecasted_monthly_slot_hours,
+                       {_daily_mean('billed', fv.BYTES_PER_TIB, 30)} AS forecasted_monthly_tb_billed,
                        'Projections based on last 30 days average' AS note
                 FROM ({_DAILY})""",
         ),

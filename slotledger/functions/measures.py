@@ -12,10 +12,6 @@ def gib(size: Column) -> Column:
     return size / F.lit(float(fv.BYTES_PER_GIB))
 
 
-def tib(size: Column) -> Column:
-    return size / F.lit(float(fv.BYTES_PER_TIB))
-
-
 def slot_hours(slot_ms: Column) -> Column:
     return slot_ms / F.lit(float(fv.MS_PER_HOUR))
 

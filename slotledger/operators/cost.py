@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotledger import fixed_values as fv
 from slotledger.functions.clock import last_days, utc_date
-from slotledger.functions.measures import gib, ratio, slot_hours, tib
+from slotledger.functions.measures import gib, ratio, slot_hours
 from slotledger.functions.topk import top
 
 
@@ -46,6 +46,15 @@ def time_travel_consumers(table_storage: DataFrame, k: int = 20) -> DataFrame:
     )
 
 
+def daily_mean(total: Column, days: Column, unit: int, times: int = 1) -> Column:
+    """``times`` the mean of ``total`` over ``days``, in ``unit``s, rounded to 2 places.
+
+    One division of whole numbers: a mean of per-day fractions would depend, in
+    the digit that decides the rounding, on the order in which they are added.
+    """
+    return F.round(F.try_divide(total * F.lit(float(times)), days * F.lit(float(unit))), 2)
+
+
 def forecast_monthly_costs(
     jobs: DataFrame, as_of: datetime | None = None, days: int = 30
 ) -> DataFrame:
@@ -54,16 +63,18 @@ def forecast_monthly_costs(
         last_days(jobs, "creation_time", as_of, days)
         .groupBy(utc_date(F.col("creation_time")).alias("usage_date"))
         .agg(
-            slot_hours(F.sum("total_slot_ms")).alias("slot_hours"),
-            tib(F.sum("total_bytes_billed")).alias("tb_billed"),
+            F.sum("total_slot_ms").alias("slot_ms"),
+            F.sum("total_bytes_billed").alias("billed"),
         )
     )
-    slots, billed = F.avg("slot_hours"), F.avg("tb_billed")
+    slots = (F.sum("slot_ms"), F.count("slot_ms"), fv.MS_PER_HOUR)
+    billed = (F.sum("billed"), F.count("billed"), fv.BYTES_PER_TIB)
+    month = fv.FORECAST_DAYS
     return daily.agg(
-        F.round(slots, 2).alias("avg_daily_slot_hours"),
-        F.round(billed, 2).alias("avg_daily_tb_billed"),
-        F.round(slots * fv.FORECAST_DAYS, 2).alias("forecasted_monthly_slot_hours"),
-        F.round(billed * fv.FORECAST_DAYS, 2).alias("forecasted_monthly_tb_billed"),
+        daily_mean(*slots).alias("avg_daily_slot_hours"),
+        daily_mean(*billed).alias("avg_daily_tb_billed"),
+        daily_mean(*slots, times=month).alias("forecasted_monthly_slot_hours"),
+        daily_mean(*billed, times=month).alias("forecasted_monthly_tb_billed"),
         F.lit(fv.FORECAST_NOTE % days).alias("note"),
     )
 

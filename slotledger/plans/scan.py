@@ -66,18 +66,15 @@ def job_findings(jobs: DataFrame, as_of: datetime | None) -> DataFrame:
         )
     )
     by_reason = Window.partitionBy("failed", "reason")
-    by_day = Window.partitionBy("usage_date").orderBy("failed", "reason")
-    whole_day = Window.partitionBy("usage_date")
-    day_slots = slot_hours(F.sum("slot_ms").over(whole_day))
-    ranked = digest.select(
-        "*",
-        F.sum("jobs").over(by_reason).alias("reason_jobs"),
-        F.when(F.row_number().over(by_day) == 1, day_slots).alias("day_slot_hours"),
-    )
+    ranked = digest.withColumn("reason_jobs", F.sum("jobs").over(by_reason))
     # Most frequent reason first, equal counts by name.
     error = F.min(F.when(c("failed"), F.struct(-c("reason_jobs"), c("reason").alias("reason"))))
+    busy_days = F.count_distinct(F.when(c("slot_ms").isNotNull(), c("usage_date")))
+    forecast = cost.daily_mean(
+        F.sum("slot_ms"), busy_days, fv.MS_PER_HOUR, times=fv.FORECAST_DAYS
+    )
     facts = ranked.agg(
-        F.round(F.avg("day_slot_hours") * fv.FORECAST_DAYS, 2).alias("forecast"),
+        forecast.alias("forecast"),
         F.floor(slot_hours(F.max("max_slot_ms"))).alias("top_slot_hours"),
         error.alias("error"),
         F.sum("slow").alias("slow"),

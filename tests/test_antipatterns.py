@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 
@@ -71,6 +72,36 @@ def test_heaviest_run_of_each_text(frame):
     assert antipattern_queries(jobs, AS_OF, k=1).count() == 1
 
 
+FRAGMENTS = (
+    "select|SELECT|\u017felect|*|from|FROM|t|,|`a.b`|order|by|rand()|limit|@n|5|regexp_contains|"
+    "like|l\u0131ke|L\u0130KE|li\u212ae|'%x'|'x%'|cross|join|JO\u0130N|insert|into|values|(|)|where|cast(|cast (|"
+    "c|as|string)|\u017ftring|STRING|in|union|UNION|all|\n|\u00a0|\u00e9|"
+    "order by rand()|insert into t values (|where cast( c as string )|JOIN u ON CAST(b AS STRING)"
+).split("|")
+
+
+def test_shortcuts_never_change_a_rule(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(6000):
+        picked = rnd.choices(FRAGMENTS, k=rnd.randrange(1, 12))
+        texts.append((rnd.choice([" ", "", "  ", "\n"]).join(picked),))
+    df = spark.createDataFrame(texts, "query string")
+    sql = F.col("query")
+    plain = [
+        F.when(sql.rlike(wanted) & (F.lit(True) if other is None else ~sql.rlike(other)), code)
+        for code, wanted, other, _ in fv.ANTIPATTERN_RULES
+    ]
+    found = detect_antipatterns(df).select(
+        "query", "rule_codes", F.array_compact(F.array(*plain)).alias("plain")
+    )
+    assert found.where(F.col("rule_codes") != F.col("plain")).collect() == []
+    fired = {r.c for r in found.select(F.explode("plain").alias("c")).distinct().collect()}
+    assert fired == {rule[0] for rule in fv.ANTIPATTERN_RULES}
+
+
 @pytest.mark.parametrize("code", [rule[0] for rule in fv.ANTIPATTERN_RULES])
 def test_every_rule_fires_on_the_derived_jobs(warehouse, code):
     from pyspark.sql import functions as F
