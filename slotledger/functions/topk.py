@@ -2,17 +2,21 @@
 
 ``distinct`` or "best row per text" followed by a limit would shuffle every
 wide row (SQL texts, mostly) only to throw nearly all of them away. Both
-helpers first find a bound on the sort column from narrow values alone: rows
-below the bound cannot be in the result. The bound is a scalar subquery, so it
-is one value whatever the input size, and where fewer than ``k`` candidates
-exist it is null and nothing is cut.
+helpers first find a lower bound of the result on the sort column, from values
+that combine on the map side to a bounded number per task. The bound is a
+scalar subquery, one value whatever the input size; where there are fewer than
+``k`` candidates it is null and nothing is cut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TEXT_BUCKETS = 1 << 16
+
 
 def top(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
     """First ``k`` rows by ``order``; only ordered when ``k`` is None."""
@@ -21,7 +25,7 @@ def top(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
 
 
 def _at_or_above(df: DataFrame, column: str, candidates: DataFrame, k: int) -> DataFrame:
-    """Keep rows of ``df`` not below the ``k``-th largest candidate value."""
+    """Keep rows of ``df`` not below the ``k``-th largest candidate ``bound``."""
     best = candidates.where(F.col("bound").isNotNull()).orderBy(F.desc("bound")).limit(k)
     bound = best.agg(
         F.when(F.count(F.lit(1)) >= k, F.min("bound")).alias("bound")
@@ -29,24 +33,31 @@ def _at_or_above(df: DataFrame, column: str, candidates: DataFrame, k: int) -> D
     return df.where(bound.isNull() | (F.col(column) >= bound))
 
 
-def newest_distinct(df: DataFrame, column: str, k: int, *ties: Column) -> DataFrame:
+def newest_distinct(
+    df: DataFrame, column: str, k: int, *ties: Column, floor: Callable[[Column], Column]
+) -> DataFrame:
     """The ``k`` distinct rows with the largest ``column``.
 
-    ``k`` distinct values of ``column`` come with at least ``k`` distinct rows,
-    so the ``k``-th largest distinct value bounds the result.
+    ``floor`` rounds the column down to few values (minutes, say). Each distinct
+    one comes with at least one distinct row, so the ``k``-th largest bounds the
+    result.
     """
-    candidates = df.select(F.col(column).alias("bound")).distinct()
+    candidates = df.select(floor(F.col(column)).alias("bound")).distinct()
     kept = _at_or_above(df, column, candidates, k)
     return top(kept.distinct(), k, F.desc(column), *ties)
 
 
-def best_per_text(df: DataFrame, text: str, column: str, k: int, tie: Column) -> DataFrame:
+def best_per_text(
+    df: DataFrame, text: str, column: str, k: int, tie: Column, buckets: int = TEXT_BUCKETS
+) -> DataFrame:
     """For each distinct ``text`` its row with the largest ``column``; the top ``k`` of those.
 
-    The bound comes from 64-bit hashes of the text. Texts with equal hashes can
-    only merge candidates, which lowers the bound, so the result stays exact.
+    The bound comes from the best value of each hash bucket. Texts that share a
+    bucket can only merge candidates, which lowers the bound, so the result
+    stays exact.
     """
-    candidates = df.groupBy(F.xxhash64(text).alias("h")).agg(F.max(column).alias("bound"))
+    bucket = F.pmod(F.xxhash64(text), F.lit(buckets))
+    candidates = df.groupBy(bucket.alias("bucket")).agg(F.max(column).alias("bound"))
     kept = _at_or_above(df, column, candidates, k)
     rank = F.row_number().over(Window.partitionBy(text).orderBy(F.desc(column), tie))
     best = kept.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")

@@ -299,9 +299,13 @@ class _Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._read: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_READ[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._read:
+            reader = self.spark.read.schema(_READ[name])
+            self._read[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
 
 def _jobs(t: _Tables) -> DataFrame:

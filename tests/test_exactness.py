@@ -27,9 +27,9 @@ def test_newest_distinct(spark, seed):
     pool = [None, *range(rnd.choice([2, 8, 40]))] if seed % 2 else list(range(30))
     rows = [(rnd.choice(pool), rnd.choice("abc")) for _ in range(120)]
     df = spark.createDataFrame(rows, "t bigint, v string")
-    for k in (1, 5, 200):
-        got = [tuple(r) for r in newest_distinct(df, "t", k, F.col("v")).collect()]
-        assert got == newest_first(rows, k)
+    for k, width in ((1, 1), (5, 1), (5, 7), (12, 3), (200, 1)):
+        found = newest_distinct(df, "t", k, F.col("v"), floor=lambda t: t - F.pmod(t, F.lit(width)))
+        assert [tuple(r) for r in found.collect()] == newest_first(rows, k)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -48,9 +48,9 @@ def test_best_per_text(spark, seed):
             best[text] = (rank, i, text, value)
     ordered = sorted(best.values(), key=lambda b: (b[0][:2], b[2]))
     df = spark.createDataFrame(rows, "i bigint, q string, v bigint")
-    for k in (1, 10, 100):
-        got = [tuple(r) for r in best_per_text(df, "q", "v", k, F.col("i")).collect()]
-        assert got == [b[1:] for b in ordered][:k]
+    for k, buckets in ((1, 1 << 16), (10, 1 << 16), (10, 12), (3, 2), (100, 1 << 16)):
+        found = best_per_text(df, "q", "v", k, F.col("i"), buckets)
+        assert [tuple(r) for r in found.collect()] == [b[1:] for b in ordered][:k]
 
 
 def test_timeline_tail_with_one_job_holding_most_rows(frame):
