@@ -8,12 +8,17 @@ package: Arrow-batched, and fed only with documents that can hold the key.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The helpers travel with the query, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def may_hold_key(document: Column, key: str) -> Column:
     """False only where ``key`` cannot occur (an escaped key needs a ``\\u``)."""

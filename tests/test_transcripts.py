@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import json
+import os
+import subprocess
+import sys
 
 import pytest
+from conftest import ROOT
 
 from slotledger import fixed_values as fv
 from slotledger.functions.json_tree import first_match, matches
@@ -62,6 +66,22 @@ def test_very_deep_json_is_no_match(messages):
     assert tr.json_key_search(messages(payloads=[deep, {"key": 1}]), "key").first().seq == 1
 
 
+def test_python_helpers_need_no_package_on_the_workers(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from slotledger.session import build_session
+from slotledger.operators import transcripts as tr
+spark = build_session(master="local[1]", conf={{"spark.ui.enabled": "false"}})
+events = spark.createDataFrame([("s", 0, '{{"key": "v"}}')], "session_id string, seq bigint, payload string")
+print("FOUND", tr.json_key_search(events, "key").first().value, tr.tool_tables(events).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, text=True,
+                          capture_output=True, timeout=300)
+    assert "FOUND v 0" in done.stdout, done.stderr[-2000:]
+
+
 # --- tables -------------------------------------------------------------------
 
 def tool(name, content, flat=False):
