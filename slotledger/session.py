@@ -7,12 +7,15 @@ from pyspark.sql import SparkSession
 # Runtime settings only; sizes (executors, memory, shuffle partitions) belong to
 # the cluster. AQE coalesces small shuffles, splits skewed join partitions, and
 # switches joins to broadcast or to hash joins from measured sizes: a hash join
-# is taken only where every partition of its built side is within the limit.
+# is taken only where every partition of its built side is within the limit. A
+# skewed join partition is split even if the aggregation above it then needs a
+# shuffle: that one moves partial results only.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

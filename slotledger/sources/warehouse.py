@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,19 +88,36 @@ class Warehouse:
             self[name].createOrReplaceTempView(name)
 
 
+def _as_declared(name: str, actual: T.DataType, declared: T.DataType) -> Column:
+    """The column with the declared type; other fields of nested columns are left out."""
+    column = F.col(name)
+    if actual == declared:
+        return column
+    if isinstance(declared, T.StructType):
+        fields = [column[f.name].cast(f.dataType).alias(f.name) for f in declared.fields]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(declared, T.ArrayType) and isinstance(declared.elementType, T.StructType):
+        # Zipped leaves, unlike a lambda over the elements, let the scan skip the others.
+        leaves = [
+            column[f.name].cast(T.ArrayType(f.dataType)).alias(f.name)
+            for f in declared.elementType.fields
+        ]
+        return F.arrays_zip(*leaves)
+    return column.cast(declared)
+
+
 def conform(df: DataFrame, view: str) -> DataFrame:
     """Select the view's columns (and ``dt``, if any) with the declared types."""
-    present = dict(df.dtypes)
+    present = {f.name: f.dataType for f in df.schema.fields}
     fields = view_schema(view).fields
     missing = [f.name for f in fields if f.name not in present]
     if missing:
         raise ValueError(f"view {view!r} lacks columns {missing}")
-    if "timestamp_ntz" in present.values():
+    if any(present[f.name] == T.TimestampNTZType() for f in fields):
         zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
         if zone not in ("UTC", "Etc/UTC", "GMT", "Z"):
             raise ValueError("zone-less time stamps need a session in UTC")
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]
+    columns = [_as_declared(f.name, present[f.name], f.dataType).alias(f.name) for f in fields]
     if DAY_PARTITION in present:
         columns.append(F.col(DAY_PARTITION).cast("date").alias(DAY_PARTITION))
     return df.select(*columns)
-

@@ -97,7 +97,29 @@ def test_large_joins_do_not_fall_back_to_broadcast(shuffled, key, params):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_a_dataset_with_most_tables_is_split(spark, frame):
+@pytest.fixture
+def small_partitions(spark):
+    """Thresholds at which a few thousand rows count as skew."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    old = {key: spark.conf.get(key) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in old.items():
+        spark.conf.set(key, value)
+
+
+def final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_a_dataset_with_most_tables_is_split(small_partitions, frame):
     """One dataset holds most tables: its join partition is cut into several tasks."""
     from slotledger.operators.cost import storage_compression_model
 
@@ -110,22 +132,29 @@ def test_a_dataset_with_most_tables_is_split(spark, frame):
         for i in range(1, 4001)]
     options = [{"schema_name": n, "option_name": "storage_billing_model", "option_value": "LOGICAL"}
                for n in ("hot", "d10")]
-    small = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000",
-    }
     storage = frame("table_storage", rows).repartition(4)
-    for key, value in small.items():
-        spark.conf.set(key, value)
-    try:
-        df = storage_compression_model(storage, frame("schemata_options", options), k=3)
-        assert len(df.collect()) == 3
-        text = df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for key in small:
-            spark.conf.unset(key)
-    assert "isSkew=true" in text or "skew=true" in text or "AQEShuffleRead coalesced and skewed" in text
+    df = storage_compression_model(storage, frame("schemata_options", options), k=3)
+    assert len(df.collect()) == 3
+    assert re.search(r"Join(\(skew=true\)|.*isSkew=true| .*skew)", final_plan(df))
+
+
+def test_a_piece_with_most_periods_is_split(small_partitions, frame):
+    """Most periods fall into one hour of one job."""
+    from datetime import datetime, timedelta, timezone
+
+    from slotledger.operators.skew import timeline_tail
+
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = [
+        {"job_id": "hot" if i % 10 else f"j{i}", "period_slot_ms": 10_000 if i % 4 else 1,
+         "period_start": start + timedelta(milliseconds=i)}
+        for i in range(12_000)]
+    df = timeline_tail(frame("jobs_timeline", rows).repartition(4))
+    got = {r.job_id: r for r in df.collect()}
+    hot = [r["period_slot_ms"] for r in rows if r["job_id"] == "hot"]
+    assert len(got) == 1201
+    assert got["hot"].tail_ratio == sum(ms == 1 for ms in hot) / len(hot)
+    assert "skew" in final_plan(df)
 
 
 def test_group_limits_run_before_the_shuffle(plan):

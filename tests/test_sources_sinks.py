@@ -53,6 +53,27 @@ def test_conform_casts_and_orders(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_conform_narrows_nested_columns(spark, frame):
+    raw = frame("datasets", [
+        {"dataset_id": "d", "access_entries": [("allUsers", "READER"), None]},
+        {"dataset_id": "e"}]).select(
+            F.lit(1).alias("more"), "dataset_id",
+            F.transform("access_entries", lambda e: F.struct(
+                F.lit("x").alias("extra"), e["role"].alias("role"),
+                e["special_group"].alias("special_group"))).alias("access_entries"))
+    df = conform(raw, "datasets")
+    assert df.dtypes == [("dataset_id", "string"),
+                         ("access_entries", "array<struct<special_group:string,role:string>>")]
+    rows = {r.dataset_id: r.access_entries for r in df.collect()}
+    assert rows["e"] is None
+    assert [tuple(e) for e in rows["d"]] == [("allUsers", "READER"), (None, None)]
+    wide = spark.sql("SELECT 'r' AS reservation_name, 5 AS slot_capacity, "
+                     "named_struct('current', 1, 'max_slots', 7) AS autoscale UNION ALL "
+                     "SELECT 's', 5, NULL")
+    got = {r.reservation_name: r.autoscale for r in conform(wide, "reservations").collect()}
+    assert got["r"].asDict() == {"max_slots": 7} and got["s"] is None
+
+
 def test_catalog_source_and_event_log(spark, warehouse, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS ops LOCATION '{tmp_path}/ops'")
     try:
