@@ -130,6 +130,19 @@ def _found(sql: str, label: int) -> str:
     return f"concat_ws(';', {whens})"
 
 
+def _heaviest(window: str, limit: str) -> str:
+    return f""", heaviest AS (
+          SELECT * FROM jobs WHERE {window} AND statement_type = 'SELECT'
+          QUALIFY row_number() OVER (PARTITION BY query ORDER BY total_slot_ms DESC, job_id) = 1
+          {limit})
+        SELECT user_email, job_id, query,
+               {_round(f'total_bytes_processed / {GIB}', 2)} AS gb_processed,
+               {_round(f'total_slot_ms / {HOURS}', 2)} AS slot_hours,
+               coalesce(nullif({_found('query', 3)}, ''), '{fv.NO_ANTIPATTERN}')
+                 AS detected_antipatterns
+        FROM heaviest"""
+
+
 _UNPARTITIONED = """
     SELECT t.table_schema, t.table_name, t.total_logical_bytes
     FROM table_storage t JOIN tables x
@@ -501,18 +514,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "antipattern_queries": c(
             "jobs",
-            f""", heaviest AS (
-                  SELECT * FROM jobs WHERE {_recent(30)} AND statement_type = 'SELECT'
-                  QUALIFY row_number() OVER (PARTITION BY query
-                    ORDER BY total_slot_ms DESC, job_id) = 1
-                  ORDER BY total_slot_ms DESC, query LIMIT 10)
-                SELECT user_email, job_id, query,
-                       {_round(f'total_bytes_processed / {GIB}', 2)} AS gb_processed,
-                       {_round(f'total_slot_ms / {HOURS}', 2)} AS slot_hours,
-                       coalesce(nullif({_found('query', 3)}, ''), '{fv.NO_ANTIPATTERN}')
-                         AS detected_antipatterns
-                FROM heaviest""",
+            _heaviest(_recent(30), "ORDER BY total_slot_ms DESC, query LIMIT 10"),
         ),
+        "antipattern_history": c("jobs", _heaviest("true", "")),
         "slow_queries": c(
             "jobs",
             f"""SELECT job_id, user_email,

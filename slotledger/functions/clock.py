@@ -35,8 +35,12 @@ def since(df: DataFrame, column: str, start: datetime, inclusive: bool = False)
     return df
 
 
-def last_days(df: DataFrame, column: str, as_of: datetime | None, days: int) -> DataFrame:
-    """Rows of the ``days`` before ``as_of``, strictly later than its start."""
+def last_days(
+    df: DataFrame, column: str, as_of: datetime | None, days: int | None
+) -> DataFrame:
+    """Rows of the ``days`` before ``as_of``, strictly later than its start; all when None."""
+    if days is None:
+        return df
     return since(df, column, resolve(as_of) - timedelta(days=days))
 
 

@@ -48,17 +48,25 @@ def newest_distinct(
 
 
 def best_per_text(
-    df: DataFrame, text: str, column: str, k: int, tie: Column, buckets: int = TEXT_BUCKETS
+    df: DataFrame,
+    text: str,
+    column: str,
+    k: int | None,
+    tie: Column,
+    buckets: int = TEXT_BUCKETS,
 ) -> DataFrame:
     """For each distinct ``text`` its row with the largest ``column``; the top ``k`` of those.
 
+    All of them, in no order, when ``k`` is None.
+
     The bound comes from the best value of each hash bucket. Texts that share a
     bucket can only merge candidates, which lowers the bound, so the result
     stays exact.
     """
-    bucket = F.pmod(F.xxhash64(text), F.lit(buckets))
-    candidates = df.groupBy(bucket.alias("bucket")).agg(F.max(column).alias("bound"))
-    kept = _at_or_above(df, column, candidates, k)
+    if k is not None:
+        bucket = F.pmod(F.xxhash64(text), F.lit(buckets))
+        candidates = df.groupBy(bucket.alias("bucket")).agg(F.max(column).alias("bound"))
+        df = _at_or_above(df, column, candidates, k)
     rank = F.row_number().over(Window.partitionBy(text).orderBy(F.desc(column), tie))
-    best = kept.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
-    return top(best, k, F.desc(column), F.col(text))
+    best = df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+    return best if k is None else top(best, k, F.desc(column), F.col(text))

@@ -25,9 +25,15 @@ def detect_antipatterns(texts: DataFrame, column: str = "query") -> DataFrame:
 
 
 def antipattern_queries(
-    jobs: DataFrame, as_of: datetime | None = None, days: int = 30, k: int = 10
+    jobs: DataFrame,
+    as_of: datetime | None = None,
+    days: int | None = 30,
+    k: int | None = 10,
 ) -> DataFrame:
-    """Heaviest run of each distinct SELECT text, top ``k``, with its findings."""
+    """Heaviest run of each distinct SELECT text, top ``k``, with its findings.
+
+    ``k=None`` keeps every text, ``days=None`` takes the whole history.
+    """
     selects = (
         last_days(jobs, "creation_time", as_of, days)
         .where(F.col("statement_type") == "SELECT")

@@ -70,6 +70,9 @@ def test_heaviest_run_of_each_text(frame):
     assert rows[0].detected_antipatterns == [fv.NO_ANTIPATTERN]
     assert rows[1].detected_antipatterns[0].startswith("SELECT *")
     assert antipattern_queries(jobs, AS_OF, k=1).count() == 1
+    later = AS_OF + dt.timedelta(days=90)
+    assert antipattern_queries(jobs, later).count() == 0
+    assert antipattern_queries(jobs, later, days=None, k=None).count() == 3
 
 
 FRAGMENTS = (

@@ -20,9 +20,16 @@ def test_every_query_has_checking_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+         "timestamp": "TIMESTAMP", "date": "DATE"}
+
+
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_sql(spark, con, key):
-    names, rows = compare.spark_rows(QUERIES[key](spark, SF_DIR))
+    df = QUERIES[key](spark, SF_DIR)
+    types = {c[0]: str(c[1]) for c in con.execute(ORACLES[key]).description}
+    assert {name: TYPES[kind] for name, kind in df.dtypes} == types
+    names, rows = compare.spark_rows(df)
     wanted_names, wanted = compare.sql_rows(con, ORACLES[key])
     assert names == wanted_names
     assert rows == wanted
