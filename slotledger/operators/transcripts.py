@@ -83,7 +83,7 @@ def _chart_text(agent_events: DataFrame) -> DataFrame:
 
 def _chart_spec(chart: Column) -> Column:
     """Chart with its top-level color moved into the encoding, and a fixed size."""
-    top = F.from_json(chart, "map<string,variant>")
+    top = F.try_variant_get(F.try_parse_json(chart), "$", "map<string,variant>")
     color = top["color"]
     movable = F.coalesce(F.schema_of_variant(color).startswith("OBJECT"), F.lit(False))
     no_fields = F.create_map().cast("map<string,variant>")
@@ -121,8 +121,22 @@ def chart_specs(agent_events: DataFrame) -> DataFrame:
     )
 
 
+def _last_values(record: Column) -> Column:
+    """A map whose keys are unique, each with its last value."""
+    keys = F.array_distinct(F.map_keys(record))
+
+    def last(key: Column) -> Column:
+        entries = F.filter(F.map_entries(record), lambda e: e["key"] == key)
+        return F.try_element_at(entries, F.lit(-1))["value"]
+
+    unique = F.map_from_arrays(keys, F.transform(keys, last))
+    return F.when(F.size(keys) == F.size(record), record).otherwise(unique)
+
+
 def _chart_values(chart: Column) -> Column:
-    return F.from_json(chart, "data struct<values:array<map<string,string>>>")["data"]["values"]
+    """Records of a chart, keys in their order."""
+    parsed = F.from_json(chart, "data struct<values:array<map<string,string>>>")
+    return F.transform(parsed["data"]["values"], _last_values)
 
 
 def chart_records(agent_events: DataFrame) -> DataFrame:
@@ -141,7 +155,8 @@ def chart_data_csv(agent_events: DataFrame) -> DataFrame:
         .select("session_id", "seq", _chart_values(F.col("chart")).alias("values"))
         .where(F.col("values").isNotNull())
     )
-    columns = F.array_distinct(F.flatten(F.transform("values", lambda r: F.map_keys(r))))
+    known = F.filter("values", lambda r: r.isNotNull())
+    columns = F.array_distinct(F.flatten(F.transform(known, lambda r: F.map_keys(r))))
     charts = charts.withColumn("columns", columns)
 
     def line(record: Column) -> Column:

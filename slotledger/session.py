@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A key that occurs twice in a JSON object counts with its last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

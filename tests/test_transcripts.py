@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import subprocess
 import sys
 
@@ -148,6 +149,19 @@ def test_chart_color_moves_into_the_encoding(messages):
     assert got[3] == {"color": "red", "mark": {"type": "bar"}, **SIZE}
 
 
+def test_the_last_of_two_equal_keys_counts(messages, frame):
+    got = specs(messages, chart('{"mark": "a", "mark": "bar", "data": {"n": 1, "n": 2}}'))
+    assert got[0] == {"mark": "bar", "data": {"n": 2}, **SIZE}
+    text = '[FOLLOW_UP][{"k": 1, "k": 2}, "q"][/FOLLOW_UP]'
+    rows = tr.follow_ups(messages(texts=[text])).orderBy("position").collect()
+    assert [r.question for r in rows] == ['{"k":2}', "q"]
+    assert payload_rows(frame, content('[{"k": 1, "k": 2}]')) == [{"k": 2}]
+    twice = chart('{"data": {"values": [{"a": 1, "b": 3, "a": 2}, null]}}')
+    assert tr.chart_data_csv(messages(texts=[twice])).first().csv == "a,b\n2,3\n,\n"
+    records = tr.chart_records(messages(texts=[twice])).orderBy("record_no").collect()
+    assert [r.record for r in records] == [{"a": "2", "b": "3"}, None]
+
+
 def test_texts_that_hold_no_chart(messages):
     got = specs(messages, "none", chart("not json"), chart('{"a": 1} tail'), chart([1]),
                 chart({"a": 1}) + chart("x"), "[VEGA]{}", None)
@@ -266,3 +280,33 @@ def test_payload_items_are_concatenated(frame):
     assert payload_rows(frame, payload) == [{"a": 1}, {"text": "x"}]
     assert payload_rows(frame, {"result": {"content": []}}) == [{"message": fv.NO_TOOL_DATA}]
     assert payload_rows(frame, {"error": {"message": "m"}}) == []
+
+
+# --- broken input ---------------------------------------------------------------
+
+PIECES = (
+    '[VEGA]|[/VEGA]|[FOLLOW_UP]|[/FOLLOW_UP]|[DASHBOARD_IMAGE]|[/DASHBOARD_IMAGE]|```json|```|{|}|'
+    '[|]|"a"|"a":|"color":|"encoding":|"data":|"values":|"mark":|1|-|1e999|1.5|true|null|NaN|,|:|'
+    "'b'|\\|\\u00|\\ud800|\n|\u2028|\x00|data:image/png;base64,AA|![x](|)|<img src=\"|>|"
+    '{"data":{"values":[{"a":1}]}}|{"color":{},"encoding":[]}|["x"]|"functionResponse":|"name":|'
+    '"result":{"content":[{"type":"text","text":|"content":{"parts":[{"text":'
+).split("|")
+
+
+def test_broken_texts_never_fail_a_report(frame):
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choices(PIECES, k=rnd.randrange(1, 14))) for _ in range(3000)]
+    texts += ["[VEGA]" + t + "[/VEGA]" for t in texts[:1000]]
+    texts += ["[FOLLOW_UP][" + t + "]" for t in texts[:1000]]
+    texts += ['{"result":{"content":[{"type":"text","text":' + json.dumps(t) + "}]}}" for t in texts[:1000]]
+    events = frame("agent_events", [
+        {"session_id": f"s{i % 7}", "seq": i, "payload": t, "text": t} for i, t in enumerate(texts)])
+    payloads = frame("tool_payloads", [{"call_id": str(i), "payload": t} for i, t in enumerate(texts)])
+    assert tr.clean_chat_text(events).count() == tr.clean_report_text(events).count() == len(texts)
+    for df in (
+        tr.clean_chat_text(events), tr.clean_report_text(events), tr.chart_specs(events),
+        tr.chart_data_csv(events), tr.chart_records(events), tr.follow_ups(events),
+        tr.final_text(events), tr.json_key_search(events, "a"),
+        tr.latest_tables(tr.tool_tables(events)), tr.parse_tool_payload(payloads),
+    ):
+        df.write.format("noop").mode("overwrite").save()
