@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from slotledger import fixed_values as fv
 from slotledger.functions.identifiers import parse_table_name
 from slotledger.operators import governance, recommendations
 
@@ -93,10 +94,10 @@ def test_recommendations_pass_nested_columns_through(frame):
          "last_updated_time": AS_OF - i * DAY, "target_resources": ["x", "y"],
          "primary_impact": ("COST",), "additional_details": "{}"}
         for i, (r, s) in enumerate([
-            ("google.bigquery.materializedview.Recommender", "ACTIVE"),
-            ("google.bigquery.materializedviewX", "ACTIVE"),
-            ("google.bigquery.materializedview.Recommender", "CLAIMED"),
-            ("x.google.bigquery.materializedview", "ACTIVE"),
+            (f"{fv.MATERIALIZED_VIEW_PREFIX}.Recommender", "ACTIVE"),
+            (f"{fv.MATERIALIZED_VIEW_PREFIX}X", "ACTIVE"),
+            (f"{fv.MATERIALIZED_VIEW_PREFIX}.Recommender", "CLAIMED"),
+            (f"x.{fv.MATERIALIZED_VIEW_PREFIX}", "ACTIVE"),
         ])
     ]
     found = recommendations.materialized_view_recommendations(frame("recommendations", rows))
