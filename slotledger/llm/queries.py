@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm import ngram_join, quality_rules
+from slotledger.llm import mixing, ngram_join, pii, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_pii(_read(spark, sf_dir, "documents")))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_read(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id"
@@ -31,8 +35,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_ngram_jaccard": op2_ngram_jaccard, "op4_quality_rules": op4_quality_rules}
+    found = (op1_pii, op2_ngram_jaccard, op4_quality_rules, op6_mixing)
+    return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
