@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm import mixing, ngram_join, pii, quality_rules
+from slotledger.llm import byte_bpe, mixing, ngram_join, pii, quality_rules, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,8 +42,23 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = token_files.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.written_and_read(_read(spark, sf_dir, "documents"), tokenizer)
+
+
+def byte_tokenizer() -> byte_bpe.Tokenizer:
+    return byte_bpe.Tokenizer(
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(_read(spark, sf_dir, "documents"), byte_tokenizer())
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_pii, op2_ngram_jaccard, op4_quality_rules, op6_mixing)
+    found = (op1_pii, op2_ngram_jaccard, op4_quality_rules, op6_mixing, op9_token_files, op10_byte_bpe)
     return {query.__name__: query for query in found}
 
 
