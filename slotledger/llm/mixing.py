@@ -72,8 +72,9 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies:
         .withColumn("_used", F.coalesce(F.sum("_weight").over(before), F.lit(0.0)))
     )
     unit = (F.col("_total") - F.col("_full")) / (F.col("_weights") - F.col("_used"))
-    rows = rows.withColumn("_unit", F.min(F.when(unit <= F.col("_ratio"), unit)).over(every))
-    share = F.least("_limit", F.coalesce(F.col("_unit") * F.col("_weight"), F.col("_limit")))
+    first = F.min(F.when(unit <= F.col("_ratio"), F.struct(F.col("_ratio"), (-unit).alias("_less"))))
+    rows = rows.withColumn("_first", first.over(every))
+    share = F.least("_limit", F.coalesce(-F.col("_first._less") * F.col("_weight"), F.col("_limit")))
     return rows.select("source", "source_size", share.alias("target"))
 
 
@@ -103,7 +104,8 @@ def thresholds(sized: DataFrame, aims: DataFrame) -> DataFrame:
         sums = sums.withColumn("upto", F.sum("words").over(run))
         # The budget ends in the first bucket whose running sum exceeds it.
         ends = (
-            state.join(sums, F.col("source").eqNullSafe(F.col("_s")))
+            state.select("source", "left")
+            .join(sums, F.col("source").eqNullSafe(F.col("_s")))
             .where(F.col("upto") > F.col("left"))
             .groupBy("source")
             .agg(
