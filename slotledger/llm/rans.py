@@ -25,7 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAGIC = b"SLR1"
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
-HEADER = struct.Struct("<4sIIIIII")
+HEADER = "<4sIIIIII"
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -87,13 +87,13 @@ def encode_block(symbols: np.ndarray, table: Table, lanes: int = 1024, every: in
     body = b"".join(
         struct.pack("<I", int(offsets[step])) + held.astype("<u8").tobytes() for step, held in reversed(states)
     ) + stream.tobytes()
-    return HEADER.pack(MAGIC, n, lanes, every, len(stream), crc_of(symbols), zlib.crc32(body)) + body
+    return struct.pack(HEADER, MAGIC, n, lanes, every, len(stream), crc_of(symbols), zlib.crc32(body)) + body
 
 
 def decode_block(blob: bytes, table: Table, first: int = 0) -> np.ndarray:
     """Symbols from checkpoint ``first`` on; all of them, checked by their CRC, if it is 0."""
-    magic, n, lanes, every, n_words, crc, body_crc = HEADER.unpack_from(blob)
-    body = memoryview(blob)[HEADER.size :]
+    magic, n, lanes, every, n_words, crc, body_crc = struct.unpack_from(HEADER, blob)
+    body = memoryview(blob)[struct.calcsize(HEADER) :]
     if magic != MAGIC or zlib.crc32(body) != body_crc:
         raise ValueError("damaged block")
     if not n:
