@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotledger.llm import byte_bpe, mixing, ngram_join, pii, quality_rules, token_files
+from slotledger.llm import (
+    byte_bpe,
+    mixing,
+    ngram_join,
+    pii,
+    quality_rules,
+    substring_dedup,
+    token_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +35,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     rules = quality_rules.fit_rules(docs, _read(spark, sf_dir, "labels"))
@@ -58,7 +70,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_pii, op2_ngram_jaccard, op4_quality_rules, op6_mixing, op9_token_files, op10_byte_bpe)
+    found = (op1_pii, op2_ngram_jaccard, op3_substring_dedup, op4_quality_rules, op6_mixing, op9_token_files, op10_byte_bpe)
     return {query.__name__: query for query in found}
 
 
