@@ -16,6 +16,7 @@ from slotledger.llm import (
     quality_rules,
     substring_dedup,
     token_files,
+    vector_search,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -70,7 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_pii, op2_ngram_jaccard, op3_substring_dedup, op4_quality_rules, op6_mixing, op9_token_files, op10_byte_bpe)
+    found = (op1_pii, op2_ngram_jaccard, op3_substring_dedup, op4_quality_rules, op5_vector_search, op6_mixing, op9_token_files, op10_byte_bpe)
     return {query.__name__: query for query in found}
 
 
