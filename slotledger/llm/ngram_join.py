@@ -41,6 +41,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotledger.llm.filters import maybe_in
 from slotledger.llm.graph import components
 from slotledger.llm.scratch import written
 from slotledger.llm.words import Words, as_bytes, chunks, grams, mix
@@ -58,7 +59,7 @@ class Settings:
     n: int = 5
     percent: int = 80
     flush_entries: int = 1 << 20  # prefix entries that a map task holds
-    bucket_entries: int = 1 << 20  # prefix entries that meet in one task, about
+    bucket_entries: int = 1 << 18  # prefix entries that meet in one task, about
     local_run: int = 64  # classes of one shingle kept apart in a map task
     region_run: int = 512  # classes of one shingle compared by sketches
     cluster_shingles: int = 1 << 21  # shingles joined in one task
@@ -700,7 +701,7 @@ def ngram_components(docs: DataFrame, settings: Settings | None = None) -> DataF
     )
     wanted = members.select("address", F.col("key").alias("wanted"))
     sets = (
-        source.select("address", "text")
+        maybe_in(source.select("address", "text"), wanted, "address")
         .join(wanted, "address")
         .mapInArrow(_sets_of(cut.n), "key binary, wanted binary, shingles binary")
         .where("key = wanted")
