@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slotledger.llm import (
     byte_bpe,
+    licenses,
     mixing,
     ngram_join,
     pii,
@@ -59,6 +60,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = token_files.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
     return token_files.written_and_read(_read(spark, sf_dir, "documents"), tokenizer)
@@ -75,9 +80,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_pii, op2_ngram_jaccard, op3_substring_dedup, op4_quality_rules, op5_vector_search, op6_mixing, op9_token_files, op10_byte_bpe)
+    found = (op1_pii, op2_ngram_jaccard, op3_substring_dedup, op4_quality_rules, op5_vector_search, op6_mixing, op7_license_scan, op9_token_files, op10_byte_bpe)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_license_scan": licenses.scan_sql()}
