@@ -14,6 +14,7 @@ from slotledger.llm import (
     mixing,
     ngram_join,
     pii,
+    quality_model,
     quality_rules,
     substring_dedup,
     token_files,
@@ -64,6 +65,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return quality_model.score_documents(docs, labels)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = token_files.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
     return token_files.written_and_read(_read(spark, sf_dir, "documents"), tokenizer)
@@ -80,7 +86,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_pii, op2_ngram_jaccard, op3_substring_dedup, op4_quality_rules, op5_vector_search, op6_mixing, op7_license_scan, op9_token_files, op10_byte_bpe)
+    found = (
+        op1_pii,
+        op2_ngram_jaccard,
+        op3_substring_dedup,
+        op4_quality_rules,
+        op5_vector_search,
+        op6_mixing,
+        op7_license_scan,
+        op8_quality_model,
+        op9_token_files,
+        op10_byte_bpe,
+    )
     return {query.__name__: query for query in found}
 
 
