@@ -308,7 +308,7 @@ def spans_table(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "base", "candidates", held.alias("held_out"))
 
 
-def fit_scorer(found: DataFrame, precision: float = 0.995, rounds: int = 24) -> Scorer:
+def fit_scorer(found: DataFrame, precision: float = 0.98, rounds: int = 24) -> Scorer:
     """Trees and thresholds from the candidates of ``spans_table``."""
     one = found.select("held_out", F.explode("candidates").alias("c")).select("held_out", "c.*")
     counts = (
@@ -362,7 +362,7 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
-def find_pii(docs: DataFrame, precision: float = 0.995) -> DataFrame:
+def find_pii(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     """doc_id, base spans and all spans (arrays of start, end, kind number) of every row."""
     found = written(spans_table(docs), "spans")
     scorer = fit_scorer(found, precision)
@@ -405,7 +405,7 @@ def redact_text(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, rebuilt).otherwise(text)
 
 
-def redact(docs: DataFrame, precision: float = 0.995) -> DataFrame:
+def redact(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     """``docs`` with personal data replaced in ``text``; all other columns as they were."""
     found = written(spans_table(docs.select(F.lit(None).alias("doc_id"), "text")).drop("doc_id"), "spans")
     scorer = fit_scorer(found, precision)
