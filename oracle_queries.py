@@ -81,8 +81,8 @@ _CTES = {
 
 
 def _recent(days: int, column: str = "creation_time") -> str:
-    """Later than as_of minus the days."""
-    return f"{column} > {AS_OF} - INTERVAL '{days} days'"
+    """Later than as_of minus the days, not later than as_of."""
+    return f"({column} > {AS_OF} - INTERVAL '{days} days' AND {column} <= {AS_OF})"
 
 
 def _with(views: str, body: str) -> str:
@@ -192,17 +192,17 @@ _MINUTES = f"""
     capacity AS (
       SELECT CAST(coalesce((SELECT sum(slot_capacity + coalesce(max_slots, 0)) FROM reservations
         WHERE reservation_name = (SELECT reservation_name FROM assignments
-          WHERE project_id = 'proj' AND job_type = 'QUERY')), {fv.DEFAULT_SLOT_LIMIT}) AS BIGINT)
+          WHERE project_id = '{{project}}' AND job_type = 'QUERY')), {fv.DEFAULT_SLOT_LIMIT}) AS BIGINT)
         AS system_slot_limit),
     usage AS (
       SELECT date_trunc('minute', period_start) AS time_bucket,
              CAST((2 * sum(period_slot_ms) + 60000) // 120000 AS BIGINT) AS avg_slots_used
-      FROM jobs_timeline WHERE period_start > {AS_OF} - INTERVAL '6 hours' GROUP BY 1),
+      FROM jobs_timeline WHERE {{window_of_period_start}} GROUP BY 1),
     waits AS (
       SELECT date_trunc('minute', creation_time) AS time_bucket, count(job_id) AS jobs_submitted,
              CAST(sum(date_sub('millisecond', creation_time, start_time)) AS BIGINT)
                / CAST(1000 * count(*) AS DOUBLE) AS wait
-      FROM jobs WHERE creation_time > {AS_OF} - INTERVAL '6 hours' AND job_type = 'QUERY'
+      FROM jobs WHERE {{window_of_creation_time}} AND job_type = 'QUERY'
       GROUP BY 1),
     minutes AS (
       SELECT time_bucket, avg_slots_used, system_slot_limit,
@@ -217,8 +217,22 @@ _MINUTES = f"""
           WHEN avg_wait_sec > 2 AND avg_slots_used < system_slot_limit * 0.5::DOUBLE
             THEN '{fv.STATUS_QUEUING}'
           ELSE '{fv.STATUS_OK}' END AS health_status
-      FROM minutes ORDER BY time_bucket DESC LIMIT 100)
+      FROM minutes ORDER BY time_bucket DESC {{limit}})
 """
+
+
+def _saturation(
+    hours: int | None = 6, limit: str = "LIMIT 100", project: str = d.PROJECT_ID
+) -> str:
+    text = _MINUTES.replace("{limit}", limit).replace("{project}", project)
+    for column in ("period_start", "creation_time"):
+        window = f"{column} <= {AS_OF}"
+        if hours is not None:
+            window += f" AND {column} > {AS_OF} - INTERVAL '{hours} hours'"
+        text = text.replace("{window_of_%s}" % column, window)
+    return text
+
+
 _SKEW = f"""
     peaks AS (SELECT job_id, period_slot_ms / 1000e0 AS slots,
                      max(period_slot_ms / 1000e0) OVER (PARTITION BY job_id) AS peak
@@ -261,11 +275,11 @@ _SLOW = f"""
 """
 
 
-def _count(source: str, k: int) -> str:
-    return f"(SELECT least(count(*), {k}) FROM ({source}))"
+def _scan_sql(limited: bool = False) -> str:
+    def _count(source: str, k: int) -> str:
+        counted = f"least(count(*), {k})" if limited else "count(*)"
+        return f"(SELECT {counted} FROM ({source}))"
 
-
-def _scan_sql() -> str:
     number = f"(SELECT {_daily_mean('slots', fv.MS_PER_HOUR, 30)} FROM ({_DAILY}))"
     checks = [
         (1, "cost", "forecast", f"CAST({number} AS VARCHAR)", fv.FINDING_FORECAST),
@@ -352,7 +366,7 @@ def _scan_sql() -> str:
     )
     return _with(
         views,
-        f""", {_MINUTES}, checks AS ({rows})
+        f""", {_saturation()}, checks AS ({rows})
         SELECT seq, area, metric, value,
                CASE WHEN seq = 6 AND value = '0' THEN {_quote(fv.FINDING_NOT_PUBLIC)}
                     ELSE replace(template, '%s', value) END AS finding
@@ -392,6 +406,17 @@ _TABLE_EVENTS = """
 
 
 def oracle_sql() -> dict[str, str]:
+    """Checking SQL by query; the ``_past`` queries are others as of an earlier time."""
+    found = _reports_sql()
+    past = "TIMESTAMP '%s'" % d.PAST_AS_OF.strftime("%Y-%m-%d %H:%M:%S")
+    for key in (
+        "forecast_monthly_costs", "unused_tables", "slot_saturation", "environment_scan",
+    ):
+        found[f"{key}_past"] = found[key].replace(AS_OF, past)
+    return found
+
+
+def _reports_sql() -> dict[str, str]:
     c = _with
     return {
         "expensive_queries": c(
@@ -495,7 +520,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "slot_saturation": c(
             "jobs jobs_timeline reservations assignments",
-            f", {_MINUTES} SELECT * FROM saturation ORDER BY time_bucket DESC",
+            f", {_saturation()} SELECT * FROM saturation ORDER BY time_bucket DESC",
+        ),
+        "slot_saturation_history": c(
+            "jobs jobs_timeline reservations assignments",
+            f", {_saturation(None, '', d.SMALL_PROJECT_ID)} SELECT * FROM saturation",
         ),
         "partition_key_candidates": c(
             "jobs job_refs table_storage tables",
@@ -537,21 +566,29 @@ def oracle_sql() -> dict[str, str]:
                       date_sub('millisecond', creation_time, start_time) / 1000e0 AS avg_wait_sec,
                       total_slot_ms FROM jobs""",
         ),
+        "job_diagnosis": c(
+            "jobs jobs_timeline job_stages",
+            f""", {_SKEW} SELECT d.job_id, peak_slots, tail_pct, write_skew_ratio, diagnosis,
+                  {_EXPLAIN} AS explanation, user_email, query, total_bytes_processed,
+                  date_sub('millisecond', creation_time, start_time) / 1000e0 AS avg_wait_sec,
+                  total_slot_ms
+                FROM diagnosed d LEFT JOIN jobs j ON d.job_id = j.job_id""",
+        ),
         "environment_scan": _scan_sql(),
+        "environment_scan_limited": _scan_sql(limited=True),
         "adhoc_sql": c(
             "jobs job_refs table_storage",
             f"""SELECT s.table_schema, count(DISTINCT user_email) AS users,
                        count(*) AS reads, CAST(sum(total_slot_ms) AS BIGINT) AS slot_ms
                 FROM jobs JOIN job_refs r USING (job_id) JOIN table_storage s
                   ON r.dataset_id = s.table_schema AND r.table_id = s.table_name
-                WHERE {_recent(14)} AND job_type = 'QUERY'
                 GROUP BY 1""",
         ),
         "billing_by_service_sku": c(
             "billing_export",
             f"""SELECT service_description AS service, sku_description AS sku,
                        CAST(usage_start_time AS DATE) AS usage_date,
-                       {_round('sum(cost)', 4)} AS cost
+                       CAST(sum(CAST(cost AS DECIMAL(28,10))) AS DOUBLE) AS cost
                 FROM billing_export GROUP BY 1, 2, 3""",
         ),
         "json_key_search": c(

@@ -163,6 +163,17 @@ ANTIPATTERN_RULES = (
 NO_ANTIPATTERN = "None detected (check logic manually)"
 
 # --- fixed values: environment scan ------------------------------------------
+SNIPPET_CHARS = 200
+# How far the scan's counts go when they are limited.
+SCAN_LIMITS = {
+    "time_travel": 20,
+    "unused_tables": 50,
+    "storage_model": 20,
+    "iam_recommendations": 20,
+    "slow_queries": 10,
+    "unpartitioned": 20,
+    "partitioning": 20,
+}
 SCAN_UNUSED_DAYS = 30
 SCAN_SLOW_DAYS = 7
 FINDING_FORECAST = "Projected Monthly Slot Hours: %s"

@@ -21,27 +21,46 @@ def resolve(as_of: datetime | None) -> datetime:
     return as_of if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc)
 
 
-def since(df: DataFrame, column: str, start: datetime, inclusive: bool = False) -> DataFrame:
-    """Rows later than ``start``, pruning day partitions where the table has them.
+def _day(time: datetime) -> Column:
+    return F.lit(time.astimezone(timezone.utc).date())
 
-    The optimizer does not derive a filter on the day partition from one on the
-    time stamp, so it is added here.
+
+def between(
+    df: DataFrame,
+    column: str,
+    start: datetime | None,
+    end: datetime | None,
+    inclusive: bool = False,
+) -> DataFrame:
+    """Rows later than ``start`` (or from it on) and not later than ``end``; None is no bound.
+
+    Day partitions are pruned where the table has them: the optimizer does not
+    derive a filter on them from one on the time stamp.
     """
-    bound = F.lit(start)
-    df = df.where(F.col(column) >= bound if inclusive else F.col(column) > bound)
-    if DAY_PARTITION in df.columns:
-        day = F.lit(start.astimezone(timezone.utc).date())
-        df = df.where(F.col(DAY_PARTITION) >= day)
+    time, by_day = F.col(column), DAY_PARTITION in df.columns
+    if start is not None:
+        bound = F.lit(start)
+        df = df.where(time >= bound if inclusive else time > bound)
+        if by_day:
+            df = df.where(F.col(DAY_PARTITION) >= _day(start))
+    if end is not None:
+        df = df.where(time <= F.lit(end))
+        if by_day:
+            df = df.where(F.col(DAY_PARTITION) <= _day(end))
     return df
 
 
 def last_days(
     df: DataFrame, column: str, as_of: datetime | None, days: int | None
 ) -> DataFrame:
-    """Rows of the ``days`` before ``as_of``, strictly later than its start; all when None."""
+    """Rows of the ``days`` up to ``as_of``, strictly later than the start.
+
+    Without ``days`` there is no start, without both every row counts.
+    """
     if days is None:
-        return df
-    return since(df, column, resolve(as_of) - timedelta(days=days))
+        return between(df, column, None, as_of and resolve(as_of))
+    end = resolve(as_of)
+    return between(df, column, end - timedelta(days=days), end)
 
 
 def utc_date(ts: Column) -> Column:

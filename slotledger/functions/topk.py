@@ -34,17 +34,20 @@ def _at_or_above(df: DataFrame, column: str, candidates: DataFrame, k: int) -> D
 
 
 def newest_distinct(
-    df: DataFrame, column: str, k: int, *ties: Column, floor: Callable[[Column], Column]
+    df: DataFrame, column: str, k: int | None, *ties: Column, floor: Callable[[Column], Column]
 ) -> DataFrame:
-    """The ``k`` distinct rows with the largest ``column``.
+    """The ``k`` distinct rows with the largest ``column``; all when None.
 
     ``floor`` rounds the column down to few values (minutes, say). Each distinct
     one comes with at least one distinct row, so the ``k``-th largest bounds the
-    result.
+    result. Where very many rows share those minutes, the ``k``-th largest of the
+    column's own distinct values among them bounds it more tightly.
     """
-    candidates = df.select(floor(F.col(column)).alias("bound")).distinct()
-    kept = _at_or_above(df, column, candidates, k)
-    return top(kept.distinct(), k, F.desc(column), *ties)
+    if k is not None:
+        coarse = df.select(floor(F.col(column)).alias("bound")).distinct()
+        df = _at_or_above(df, column, coarse, k)
+        df = _at_or_above(df, column, df.select(F.col(column).alias("bound")).distinct(), k)
+    return top(df.distinct(), k, F.desc(column), *ties)
 
 
 def best_per_text(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger import fixed_values as fv
-from slotledger.functions.clock import resolve, since, utc_minute
+from slotledger.functions.clock import between, resolve, utc_minute
 from slotledger.functions.identifiers import parse_table_name
 from slotledger.functions.topk import newest_distinct
 
@@ -45,9 +45,9 @@ def recent_table_users(
     table_name: str,
     as_of: datetime | None = None,
     days: int = 30,
-    k: int = 50,
+    k: int | None = 50,
 ) -> DataFrame:
-    """Latest distinct uses of one table, both ends of the window included.
+    """Latest distinct uses of one table, both ends of the window included; all when k is None.
 
     Testing the reference array in place gives the rows an explode and a
     ``distinct`` would, without multiplying them first, and reads only the
@@ -63,8 +63,7 @@ def recent_table_users(
         pairs = F.arrays_zip(datasets.alias("dataset_id"), tables.alias("table_id"))
         used = F.array_contains(pairs, wanted)
     uses = (
-        since(jobs, "creation_time", end - timedelta(days=days), inclusive=True)
-        .where(F.col("creation_time") <= F.lit(end))
+        between(jobs, "creation_time", end - timedelta(days=days), end, inclusive=True)
         .where(used)
         .select("user_email", "creation_time", "query")
     )

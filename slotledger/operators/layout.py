@@ -13,6 +13,9 @@ from slotledger.functions.measures import gib
 from slotledger.functions.topk import top
 from slotledger.operators.cost import table_references, unpartitioned_tables
 
+#: Tables that may be broadcast by hint (three names and numbers a row).
+SMALL = 10_000
+
 
 def partition_key_candidates(
     jobs: DataFrame,
@@ -20,11 +23,11 @@ def partition_key_candidates(
     tables: DataFrame,
     as_of: datetime | None = None,
     days: int = 30,
-    k_tables: int = 3,
-    k_queries: int = 3,
+    k_tables: int | None = 3,
+    k_queries: int | None = 3,
     match_dataset: bool = False,
 ) -> DataFrame:
-    """Heaviest SELECTs on each of the largest unpartitioned tables.
+    """Heaviest SELECTs on each of the largest unpartitioned tables; all of either when None.
 
     References are matched by table name; ``match_dataset`` also compares the
     dataset. The ranking keeps ``k_queries`` rows per table within each task
@@ -44,15 +47,14 @@ def partition_key_candidates(
     on = F.col("table_id") == F.col("table_name")
     if match_dataset:
         on = on & (F.col("dataset_id") == F.col("table_schema"))
-    # At most k_tables rows are broadcast.
-    heavy = uses.join(F.broadcast(large), on)
+    if k_tables is not None and k_tables <= SMALL:
+        large = F.broadcast(large)
+    heavy = uses.join(large, on)
     rank = F.row_number().over(
         Window.partitionBy("table_name").orderBy(
             F.desc("total_slot_ms"), F.col("job_id"), F.col("dataset_id"), F.col("table_schema")
         )
     )
-    return (
-        heavy.withColumn("_rank", rank)
-        .where(F.col("_rank") <= k_queries)
-        .select("table_name", gib(F.col("total_logical_bytes")).alias("size_gb"), "query")
-    )
+    if k_queries is not None:
+        heavy = heavy.withColumn("_rank", rank).where(F.col("_rank") <= k_queries)
+    return heavy.select("table_name", gib(F.col("total_logical_bytes")).alias("size_gb"), "query")

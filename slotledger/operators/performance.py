@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from slotledger import fixed_values as fv
 from slotledger.functions.clock import (
+    between,
     last_days,
     millis_between,
     resolve,
     seconds_between,
-    since,
     utc_hour,
     utc_minute,
 )
@@ -126,13 +126,14 @@ def slot_saturation(
     assignments: DataFrame,
     project_id: str,
     as_of: datetime | None = None,
-    hours: int = fv.SATURATION_HOURS,
-    k: int = 100,
+    hours: int | None = fv.SATURATION_HOURS,
+    k: int | None = 100,
 ) -> DataFrame:
-    """Slot use against the limit per minute, newest first."""
-    start = resolve(as_of) - timedelta(hours=hours)
-    usage = slots_by_minute(since(jobs_timeline, "period_start", start))
-    waits = waits_by_minute(since(jobs, "creation_time", start))
+    """Slot use against the limit per minute, newest first; the whole history without ``hours``."""
+    end = resolve(as_of)
+    start = None if hours is None else end - timedelta(hours=hours)
+    usage = slots_by_minute(between(jobs_timeline, "period_start", start, end))
+    waits = waits_by_minute(between(jobs, "creation_time", start, end))
     # A global aggregate: exactly one row, whatever the input.
     limit = slot_limit(reservations, assignments, project_id)
     used, cap = F.col("avg_slots_used"), F.col("system_slot_limit")
@@ -160,9 +161,14 @@ def is_slow_candidate() -> Column:
 
 
 def slow_queries(
-    jobs: DataFrame, as_of: datetime | None = None, days: int = 7, k: int = 10
+    jobs: DataFrame,
+    as_of: datetime | None = None,
+    days: int = 7,
+    k: int | None = 10,
+    snippet_chars: int | None = fv.SNIPPET_CHARS,
 ) -> DataFrame:
-    """Successful SELECT queries that ran longest."""
+    """Successful SELECT queries that ran longest, with the first characters of their text
+    (the whole text when ``snippet_chars`` is None)."""
     finished = (
         last_days(jobs, "creation_time", as_of, days)
         .where(is_slow_candidate())
@@ -175,13 +181,22 @@ def slow_queries(
         "user_email",
         "duration_seconds",
         slot_hours(F.col("total_slot_ms")).alias("slot_hours"),
-        F.left("query", F.lit(200)).alias("query_snippet"),
+        (F.col("query") if snippet_chars is None else F.left("query", F.lit(snippet_chars))).alias(
+            "query_snippet"
+        ),
         gib(F.col("total_bytes_processed")).alias("gb_processed"),
     )
 
 
-def job_wait(jobs: DataFrame, job_id: str | None = None) -> DataFrame:
-    """Wait before start and main facts, of one job or of all."""
+def job_wait(
+    jobs: DataFrame,
+    job_id: str | None = None,
+    as_of: datetime | None = None,
+    days: int | None = None,
+    carry: tuple[Column, ...] = (),
+) -> DataFrame:
+    """Wait before start and main facts, of one job or of all; of the last ``days`` if given."""
+    jobs = last_days(jobs, "creation_time", as_of, days)
     if job_id is not None:
         jobs = jobs.where(F.col("job_id") == job_id)
     return jobs.select(
@@ -191,4 +206,5 @@ def job_wait(jobs: DataFrame, job_id: str | None = None) -> DataFrame:
         "total_bytes_processed",
         seconds_between(F.col("creation_time"), F.col("start_time")).alias("avg_wait_sec"),
         "total_slot_ms",
+        *carry,
     )

@@ -2,49 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotledger import fixed_values as fv
-from slotledger.functions.clock import epoch_hour
+from slotledger.functions.clock import last_days
 from slotledger.functions.measures import ratio, to_whole
+from slotledger.operators.performance import job_wait
 
 
 def timeline_tail(jobs_timeline: DataFrame) -> DataFrame:
     """Per job: peak slots and the share of periods below a tenth of the peak.
 
-    A window over the job would gather a long-lived job's whole timeline in one
-    task. Periods are cut into (job, hour) pieces instead: each piece is reduced
-    on the map side, the peak is found over pieces, and only then are periods
-    compared with it, again piece by piece. A timeline holds one row per job and
-    second, so a piece is small however long the job lived.
+    Periods collapse on the map side to their counts by job and slot use, however
+    long a job lived or whatever hour holds most of its periods. The peak and the
+    comparison with it both read those counts from one exchange, so the timeline
+    is scanned once and no raw period is shuffled.
     """
-    periods = jobs_timeline.select(
-        "job_id",
-        F.coalesce(epoch_hour(F.col("period_start")), F.lit(0)).alias("hour"),
-        (F.col("period_slot_ms") / F.lit(float(fv.MS_PER_SECOND))).alias("slots"),
-    )
-    pieces = periods.groupBy("job_id", "hour").agg(F.max("slots").alias("piece_peak"))
-    peaks = pieces.select(
-        "job_id",
-        F.col("hour"),
-        F.max("piece_peak").over(Window.partitionBy("job_id")).alias("peak_slots"),
+    used = (
+        jobs_timeline.select("job_id", "period_slot_ms")
+        .groupBy("job_id", "period_slot_ms")
+        .agg(F.count(F.lit(1)).alias("periods"))
     )
-    same_piece = ["job_id", "hour"]
-    level = F.col("peak_slots") * fv.TAIL_LEVEL
-    counted = (
-        periods.join(peaks, same_piece)
-        .groupBy(*same_piece)
+    peaks = used.groupBy("job_id").agg(F.max("period_slot_ms").alias("peak_ms"))
+
+    def slots(name: str) -> Column:
+        return F.col(name) / F.lit(float(fv.MS_PER_SECOND))
+
+    low = slots("period_slot_ms") < slots("peak_ms") * fv.TAIL_LEVEL
+    return (
+        used.join(peaks, "job_id")
+        .groupBy("job_id")
         .agg(
-            F.max("peak_slots").alias("peak_slots"),
-            F.count_if(F.col("slots") < level).alias("low"),
-            F.count(F.lit(1)).alias("periods"),
+            F.max(slots("peak_ms")).alias("peak_slots"),
+            ratio(
+                F.sum(F.when(low, F.col("periods")).otherwise(0)), F.sum("periods")
+            ).alias("tail_ratio"),
         )
     )
-    return counted.groupBy("job_id").agg(
-        F.max("peak_slots").alias("peak_slots"),
-        ratio(F.sum("low"), F.sum("periods")).alias("tail_ratio"),
-    )
 
 
 def _stage_skew(stages: Column) -> Column:
@@ -68,26 +65,44 @@ def _stage_skew(stages: Column) -> Column:
 def stage_skew(jobs: DataFrame) -> DataFrame:
     """Per job: largest write and compute skew, its worst stage, and its user.
 
-    Stages are reduced inside their row, so only a few values per job reach the
-    shuffle.
+    The history has a row for each job, and stages are reduced inside it, so no
+    aggregation is needed and only a few values per job reach a later shuffle.
     """
-    reduced = jobs.select("job_id", "user_email", _stage_skew(F.col("job_stages")).alias("s")).select(
-        "job_id",
-        "user_email",
+    described = job_wait(jobs, carry=(_stage_skew(F.col("job_stages")).alias("s"),))
+    return described.select(
+        *[name for name in described.columns if name != "s"],
         F.array_max("s.write").alias("write_skew"),
         F.array_max("s.compute").alias("compute_skew"),
         F.array_max("s.order").alias("worst"),
     )
-    return reduced.groupBy("job_id").agg(
-        F.max("user_email").alias("user_email"),
-        F.max("write_skew").alias("write_skew"),
-        F.max("compute_skew").alias("compute_skew"),
-        F.max("worst").alias("worst"),
+
+
+def data_skew(
+    jobs: DataFrame,
+    jobs_timeline: DataFrame,
+    job_id: str | None = None,
+    as_of: datetime | None = None,
+    days: int | None = None,
+) -> DataFrame:
+    """Diagnosis of one job, or of every job that has a timeline.
+
+    ``days`` takes the jobs created, and the periods begun, in the last days only.
+    """
+    return job_diagnosis(jobs, jobs_timeline, job_id, as_of, days).select(
+        "job_id", "peak_slots", "tail_pct", "write_skew_ratio", "diagnosis", "explanation"
     )
 
 
-def data_skew(jobs: DataFrame, jobs_timeline: DataFrame, job_id: str | None = None) -> DataFrame:
-    """Diagnosis of one job, or of every job that has a timeline."""
+def job_diagnosis(
+    jobs: DataFrame,
+    jobs_timeline: DataFrame,
+    job_id: str | None = None,
+    as_of: datetime | None = None,
+    days: int | None = None,
+) -> DataFrame:
+    """Diagnosis together with the job's main facts (null for a job without history)."""
+    jobs = last_days(jobs, "creation_time", as_of, days)
+    jobs_timeline = last_days(jobs_timeline, "period_start", as_of, days)
     if job_id is not None:
         jobs = jobs.where(F.col("job_id") == job_id)
         jobs_timeline = jobs_timeline.where(F.col("job_id") == job_id)
@@ -118,20 +133,18 @@ def data_skew(jobs: DataFrame, jobs_timeline: DataFrame, job_id: str | None = No
     return (
         timeline_tail(jobs_timeline)
         .join(stage_skew(jobs), "job_id", "left")
-        .select(
-            "job_id",
-            "peak_slots",
-            F.round(tail * 100, 1).alias("tail_pct"),
-            F.round(c("write_skew"), 1).alias("write_skew_ratio"),
-            diagnosis.alias("diagnosis"),
-            "user_email",
-        )
+        .withColumns({"tail_pct": F.round(tail * 100, 1), "diagnosis": diagnosis})
         .select(
             "job_id",
             "peak_slots",
             "tail_pct",
-            "write_skew_ratio",
+            F.round(c("write_skew"), 1).alias("write_skew_ratio"),
             "diagnosis",
             explanation.alias("explanation"),
+            "user_email",
+            "query",
+            "total_bytes_processed",
+            "avg_wait_sec",
+            "total_slot_ms",
         )
     )

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame
 from slotledger.sources.warehouse import Warehouse
 
 
-def adhoc_sql(wh: Warehouse, query: str, params: dict[str, Any] | None = None) -> DataFrame:
-    """Run any query over the warehouse's views, with ``:name`` parameters."""
-    wh.register()
+def adhoc_sql(
+    wh: Warehouse, query: str, params: dict[str, Any] | None = None, prefix: str = ""
+) -> DataFrame:
+    """Run any query over the warehouse's views, with ``:name`` parameters.
+
+    ``prefix`` goes before the views' names, so that a session's own views of the
+    same name stay as they are; a clash with one of those is an error.
+    """
+    wh.register(prefix)
     return wh.spark.sql(query, args=params or {})

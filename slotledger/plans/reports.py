@@ -70,9 +70,10 @@ _REPORTS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...], bool]] = {
     "detect_antipatterns": (antipatterns.detect_antipatterns, ("jobs",), False),
     "antipattern_queries": (antipatterns.antipattern_queries, ("jobs",), True),
     "slow_queries": (performance.slow_queries, ("jobs",), True),
-    "data_skew": (skew.data_skew, ("jobs", "jobs_timeline"), False),
-    "job_wait": (performance.job_wait, ("jobs",), False),
-    "billing_by_service_sku": (billing.billing_by_service_sku, ("billing_export",), False),
+    "data_skew": (skew.data_skew, ("jobs", "jobs_timeline"), True),
+    "job_diagnosis": (skew.job_diagnosis, ("jobs", "jobs_timeline"), True),
+    "job_wait": (performance.job_wait, ("jobs",), True),
+    "billing_by_service_sku": (billing.billing_by_service_sku, ("billing_export",), True),
 }
 REPORT_KEYS = (*_REPORTS, "environment_scan")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -30,14 +31,42 @@ def _rows(one_row: DataFrame, *findings: Column) -> DataFrame:
     return one_row.select(F.inline(F.array(*findings))).where(F.col("value").isNotNull())
 
 
-def _at_most(rows: DataFrame, k: int, seq: int, area: str, metric: str, text: str) -> DataFrame:
-    """Number of rows, counted up to ``k``; the limit lets tasks stop early."""
-    counted = rows.limit(k).agg(F.count(F.lit(1)).alias("n"))
-    n = F.when(F.col("n") > 0, F.col("n").cast("string"))
-    return _rows(counted, _finding(seq, area, metric, n, text))
+def _number(n: Column, limit: int | None = None) -> Column:
+    """A count as text, at most ``limit``; null for none."""
+    shown = n if limit is None else F.least(n, F.lit(limit))
+    return F.when(n > 0, shown.cast("string"))
 
 
-def job_findings(jobs: DataFrame, as_of: datetime | None) -> DataFrame:
+def _counted(
+    rows: DataFrame, limits: Mapping[str, int], seq: int, area: str, metric: str, text: str
+) -> DataFrame:
+    """Number of rows; a limit lets tasks stop early."""
+    limit = limits.get(metric)
+    some = rows if limit is None else rows.limit(limit)
+    counted = some.agg(F.count(F.lit(1)).alias("n"))
+    return _rows(counted, _finding(seq, area, metric, _number(F.col("n")), text))
+
+
+def recommendation_findings(wh: Warehouse, limits: Mapping[str, int]) -> DataFrame:
+    """Active access and partitioning recommendations, from one pass."""
+    wanted = {
+        "iam_recommendations": (7, "security", recommendations.from_iam(), fv.FINDING_IAM),
+        "partitioning": (12, "performance", recommendations.from_partitioning(), fv.FINDING_PARTITIONING),
+    }
+    active = recommendations.active(wh.recommendations, F.lit(True))
+    counts = active.agg(*[F.count_if(w[2]).alias(metric) for metric, w in wanted.items()])
+    return _rows(
+        counts,
+        *[
+            _finding(seq, area, metric, _number(F.col(metric), limits.get(metric)), text)
+            for metric, (seq, area, _, text) in wanted.items()
+        ],
+    )
+
+
+def job_findings(
+    jobs: DataFrame, as_of: datetime | None, limits: Mapping[str, int]
+) -> DataFrame:
     """Forecast, top query, top error and slow queries from one pass over the jobs.
 
     Jobs collapse to one row per day and error reason first; the four findings
@@ -83,7 +112,7 @@ def job_findings(jobs: DataFrame, as_of: datetime | None) -> DataFrame:
     for raw, label in fv.ERROR_LABELS.items():
         labels = F.when(c("error.reason") == raw, label).otherwise(labels)
     reason = F.when(c("error").isNotNull(), labels)
-    slow_count = F.when(c("slow") > 0, F.least(c("slow"), F.lit(10)).cast("string"))
+    slow_count = _number(c("slow"), limits.get("slow_queries"))
     return _rows(
         facts,
         _finding(1, "cost", "forecast", decimal_text(c("forecast")), fv.FINDING_FORECAST),
@@ -123,41 +152,41 @@ def saturation_finding(wh: Warehouse, project_id: str, as_of: datetime | None) -
 
 
 def environment_scan(
-    wh: Warehouse, project_id: str, as_of: datetime | None = None
+    wh: Warehouse,
+    project_id: str,
+    as_of: datetime | None = None,
+    limits: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row (seq, area, metric, value, finding) per check that found something.
 
+    Counts are exact. ``limits`` stops a metric's count at a number
+    (``fixed_values.SCAN_LIMITS`` has the usual ones).
+
     Every branch ends in at most a few rows, so the union and its order are
     small whatever the size of the history; the branches are independent and
     run side by side.
     """
+    limits = limits or {}
     branches = [
-        job_findings(wh.jobs, as_of),
-        _at_most(
+        job_findings(wh.jobs, as_of, limits),
+        _counted(
             cost.with_time_travel(wh.table_storage),
-            20, 2, "cost", "time_travel", fv.FINDING_TIME_TRAVEL,
+            limits, 2, "cost", "time_travel", fv.FINDING_TIME_TRAVEL,
         ),
-        _at_most(
+        _counted(
             cost.unreferenced_tables(wh.table_storage, wh.jobs, as_of, fv.SCAN_UNUSED_DAYS),
-            50, 3, "cost", "unused_tables", fv.FINDING_UNUSED,
+            limits, 3, "cost", "unused_tables", fv.FINDING_UNUSED,
         ),
-        _at_most(
+        _counted(
             cost.logically_billed_tables(wh.table_storage, wh.schemata_options),
-            20, 5, "cost", "storage_model", fv.FINDING_STORAGE,
+            limits, 5, "cost", "storage_model", fv.FINDING_STORAGE,
         ),
         public_finding(wh.datasets),
-        _at_most(
-            recommendations.active(wh.recommendations, recommendations.from_iam()),
-            20, 7, "security", "iam_recommendations", fv.FINDING_IAM,
-        ),
+        recommendation_findings(wh, limits),
         saturation_finding(wh, project_id, as_of),
-        _at_most(
+        _counted(
             cost.unpartitioned_tables(wh.table_storage, wh.tables),
-            20, 11, "performance", "unpartitioned", fv.FINDING_UNPARTITIONED,
-        ),
-        _at_most(
-            recommendations.active(wh.recommendations, recommendations.from_partitioning()),
-            20, 12, "performance", "partitioning", fv.FINDING_PARTITIONING,
+            limits, 11, "performance", "unpartitioned", fv.FINDING_UNPARTITIONED,
         ),
     ]
     return reduce(DataFrame.unionByName, branches).orderBy("seq")

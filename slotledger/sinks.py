@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from slotledger.functions.clock import resolve
@@ -29,6 +29,40 @@ def write_report_bundle(
         report.write.mode(mode).parquet(f"{root}/{key}")
 
 
+def write_chart_files(specs_csv: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write ``chart_data_csv`` rows as one CSV file a chart, in ``session_id=/seq=`` folders.
+
+    Each chart keeps its own columns.
+    """
+    lines = specs_csv.select("session_id", "seq", F.regexp_replace("csv", "\n\\z", "").alias("value"))
+    lines.write.mode(mode).partitionBy("session_id", "seq").text(path)
+
+
+def write_tables_by_title(
+    latest: DataFrame, root: str, mode: str = "overwrite"
+) -> None:
+    """Write ``latest_tables`` as JSON records in ``session_id=/title=`` folders."""
+    records = latest.select("session_id", "title", F.explode("records").alias("value"))
+    records.write.mode(mode).partitionBy("session_id", "title").text(root)
+
+
+def write_logged_report(
+    report: DataFrame,
+    key: str,
+    path: str,
+    table: str,
+    params: Mapping[str, Any] | None = None,
+    run_at: datetime | None = None,
+    mode: str = "overwrite",
+) -> None:
+    """Write a report as Parquet and log its row count, counted as it is written."""
+    seen = Observation()
+    report.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+    spark = report.sparkSession
+    counted = spark.range(1).select(F.lit(seen.get["rows"]).cast("bigint").alias("rows"))
+    _log(counted, key, table, params, run_at)
+
+
 def append_event_log(
     report: DataFrame,
     key: str,
@@ -36,8 +70,17 @@ def append_event_log(
     params: Mapping[str, Any] | None = None,
     run_at: datetime | None = None,
 ) -> None:
-    """Append one row (run_at, key, params, rows) about a report to a log table."""
-    entry = report.agg(F.count(F.lit(1)).alias("rows")).select(
+    """Append one row (run_at, key, params, rows) about a report to a log table.
+
+    This runs the report; ``write_logged_report`` counts while it writes.
+    """
+    _log(report.agg(F.count(F.lit(1)).alias("rows")), key, table, params, run_at)
+
+
+def _log(
+    counted: DataFrame, key: str, table: str, params: Mapping[str, Any] | None, run_at: datetime | None
+) -> None:
+    entry = counted.select(
         F.lit(resolve(run_at)).alias("run_at"),
         F.lit(key).alias("key"),
         F.lit(json.dumps(dict(params or {}), sort_keys=True, default=str)).alias("params"),

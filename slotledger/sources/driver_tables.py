@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from slotledger import fixed_values as fv
 from slotledger.sources.warehouse import Warehouse
 
+PAST_AS_OF = datetime(2024, 1, 16, 0, 10, tzinfo=timezone.utc)
 AS_OF = datetime(2024, 1, 31, tzinfo=timezone.utc)
 PROJECT_ID = "proj"
+#: A project whose few slots are often used up.
+SMALL_PROJECT_ID = "small"
 
 # Read schemas: zone-less time stamps are read as UTC instants.
 _READ = {
@@ -198,13 +201,13 @@ RECOMMENDATIONS = {
 }
 RESERVATIONS = {
     "reservation_name": "r_name",
-    "slot_capacity": "CAST(100 * (r_regionkey + 1) AS BIGINT)",
-    "max_slots": "CASE WHEN r_regionkey % 2 = 0 THEN CAST(50 AS BIGINT) END",
+    "slot_capacity": "CAST(CASE WHEN r_regionkey = 4 THEN 12 ELSE 100 * (r_regionkey + 1) END AS BIGINT)",
+    "max_slots": "CASE WHEN r_regionkey IN (0, 2) THEN CAST(50 AS BIGINT) END",
 }
 ASSIGNMENTS = {
     "reservation_name": "r_name",
-    "project_id": f"'{PROJECT_ID}'",
-    "job_type": "CASE WHEN r_regionkey = 0 THEN 'QUERY' ELSE 'PIPELINE' END",
+    "project_id": f"CASE WHEN r_regionkey = 4 THEN '{SMALL_PROJECT_ID}' ELSE '{PROJECT_ID}' END",
+    "job_type": "CASE WHEN r_regionkey IN (0, 4) THEN 'QUERY' ELSE 'PIPELINE' END",
 }
 # Each dataset has this entry and one for its owners.
 DATASET_ENTRY = {

@@ -82,10 +82,29 @@ class Warehouse:
             return self[name]
         raise AttributeError(name)
 
-    def register(self) -> None:
-        """Make every view a temporary view of the session, for ad-hoc SQL."""
+    def refresh(self) -> None:
+        """Forget the views built so far: the next use lists their files again."""
+        self._views.clear()
+
+    def register(self, prefix: str = "") -> None:
+        """Make every view a temporary view of the session, for ad-hoc SQL.
+
+        A temporary view of the session that no warehouse registered is an error.
+        """
         for name in self._loaders:
-            self[name].createOrReplaceTempView(name)
+            view = f"{prefix}{name}"
+            if view not in _REGISTERED and _is_temporary(self.spark, view):
+                raise ValueError(f"the session has a view {view!r} of its own; give a prefix")
+            self[name].createOrReplaceTempView(view)
+            _REGISTERED.add(view)
+
+
+#: Temporary views that warehouses of this process have made.
+_REGISTERED: set[str] = set()
+
+
+def _is_temporary(spark: SparkSession, view: str) -> bool:
+    return spark.catalog.tableExists(view) and spark.catalog.getTable(view).isTemporary
 
 
 def _as_declared(name: str, actual: T.DataType, declared: T.DataType) -> Column:

@@ -26,7 +26,7 @@ def test_window_start_is_excluded(frame):
         ],
     )
     rows = cost.expensive_queries(jobs, AS_OF).collect()
-    assert [r.job_id for r in rows] == ["inside", "later_than_as_of"]
+    assert [r.job_id for r in rows] == ["inside"]
 
 
 def test_expensive_queries_ties_and_nulls(frame):

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from slotledger import fixed_values as fv
 from slotledger.plans.reports import REPORT_KEYS, run_report
 from slotledger.plans.scan import environment_scan, scan_summary
 from slotledger.sources.driver_tables import AS_OF, PROJECT_ID
@@ -17,7 +18,7 @@ def test_scan_agrees_with_the_reports(warehouse):
         return run_report(warehouse, key, as_of=AS_OF, **params)
 
     def size(key, **params):
-        return str(report(key, **params).count())
+        return str(report(key, k=None, **params).count())
 
     assert rows[1].value == str(
         report("forecast_monthly_costs").first().forecasted_monthly_slot_hours)
@@ -25,7 +26,7 @@ def test_scan_agrees_with_the_reports(warehouse):
     assert rows[3].value == size("unused_tables", days_inactive=30)
     assert rows[4].value == str(int(report("expensive_queries").first().slot_hours))
     assert rows[5].value == size("storage_compression_model")
-    assert rows[6].value == size("public_datasets")
+    assert rows[6].value == str(report("public_datasets").count())
     assert rows[7].value == size("iam_recommendations")
     top = report("common_query_errors").first().reason
     assert rows[8].value == {"notFound": "Not Found"}.get(top, top)
@@ -35,6 +36,12 @@ def test_scan_agrees_with_the_reports(warehouse):
     assert rows[11].value == size("large_unpartitioned_tables")
     assert rows[12].value == size("partition_cluster_recommendations")
     assert [r.seq for r in rows.values()] == sorted(rows)
+    limited = environment_scan(warehouse, PROJECT_ID, AS_OF, limits=fv.SCAN_LIMITS).collect()
+    wanted = {metric: row.value for metric, row in ((r.metric, r) for r in rows.values())}
+    for row in limited:
+        limit = fv.SCAN_LIMITS.get(row.metric)
+        full = wanted[row.metric]
+        assert row.value == (full if limit is None else str(min(int(full), limit)))
 
 
 def empty_views(frame, **views):
