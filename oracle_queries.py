@@ -657,12 +657,16 @@ def _reports_sql() -> dict[str, str]:
             SELECT call_id, 0 AS row_no,
                    CASE WHEN kind IN (0, 1) THEN CAST(turn AS VARCHAR) END AS a,
                    CASE WHEN kind IN (0, 1) THEN text END AS b,
-                   CASE kind WHEN 2 THEN CAST(turn AS VARCHAR) WHEN 4 THEN 'True' END AS info,
+                   CASE kind WHEN 2 THEN CAST(turn AS VARCHAR) WHEN 4 THEN 'True' WHEN 6 THEN '1.5'
+                     WHEN 7 THEN CAST(turn AS VARCHAR) || '.0' END AS info,
                    CASE WHEN kind = 3 THEN text END AS text,
-                   CASE WHEN kind = 5 THEN '{fv.NO_TOOL_DATA}' END AS message
+                   CASE WHEN kind = 5 THEN '{fv.NO_TOOL_DATA}' END AS message,
+                   CASE kind WHEN 8 THEN 'MCP Error: no ' || CAST(turn AS VARCHAR)
+                     WHEN 9 THEN 'Invalid JSON response: {{broken ' || CAST(turn AS VARCHAR)
+                     WHEN 10 THEN '{fv.TOOL_NOT_RECOGNISED}' END AS error
             FROM kinds
             UNION ALL
-            SELECT call_id, 1, CAST(conv_id AS VARCHAR), role, NULL, NULL, NULL
+            SELECT call_id, 1, CAST(conv_id AS VARCHAR), role, NULL, NULL, NULL, NULL
             FROM kinds WHERE kind = 0""",
         "final_text": c(
             "agent_events",

@@ -237,6 +237,10 @@ REPORT_REMOVALS = (
 )
 NO_CHAT_TEXT = "(No response text received from agent)"
 NO_REPORT_TEXT = "# Error: No report content received."
+TOOL_ERROR = "MCP Error: %s"
+TOOL_ERROR_UNKNOWN = "Unknown error"
+TOOL_NOT_JSON = "Invalid JSON response: %s"
+TOOL_NOT_RECOGNISED = "MCP response format not recognized"
 NO_TOOL_DATA = "Query executed successfully but returned no data."
 # Characters that count as white space when text is trimmed.
 WHITESPACE = (

@@ -54,22 +54,55 @@ def plain_text(value: Column) -> Column:
     )
 
 
+#: What follows holds only whole quoted strings.
+_OUTSIDE_QUOTES = r"""(?=(?:[^'"]++|'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+")*+\z)"""
+
+
+def scalar_text(value: Column, own: Column) -> Column:
+    """``plain_text`` of a variant whose JSON text is ``own``: a number keeps its fraction.
+
+    A whole number is as written; a number with a fraction is written without
+    trailing zeros but for one, as long as it needs no exponent.
+    """
+    number = own.cast("double")
+    plain = own.rlike(r"^-?\d+\.\d+$") & (
+        (number == 0) | F.abs(number).between(1e-4, 9.999999e15)
+    )
+    return (
+        F.when(own.rlike(r"^-?\d+$") & (own != "-0"), own)
+        .when(plain, F.regexp_replace(own, r"(\.\d+?)0+$", "$1"))
+        .otherwise(plain_text(value))
+    )
+
+
+def _element_texts(text: Column, options: dict[str, str]) -> Column:
+    values = F.from_json(text, "array<variant>", options)
+    owns = F.from_json(text, "array<string>", options)
+
+    def element(value: Column, own: Column) -> Column:
+        quoted = F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+        return F.when(quoted, own).otherwise(scalar_text(value, own))
+
+    return F.zip_with(values, owns, element)
+
+
 def string_list(text: Column) -> Column:
     """Items of a bracketed list: JSON, else a quoted literal list, else split at commas.
 
     Text that is not in brackets has no items.
     """
     bracketed = text.startswith("[") & text.endswith("]")
-    values = F.from_json(text, "array<variant>", _STRICT)
     literal = F.regexp_replace(text, r",\s*\]\z", "]")
+    for word, value in (("None", "null"), ("True", "true"), ("False", "false")):
+        literal = F.regexp_replace(literal, rf"\b{word}\b{_OUTSIDE_QUOTES}", value)
     pieces = F.split(strip(text, "[]"), ",")
     cleaned = F.filter(
         F.transform(pieces, lambda p: strip(strip(strip(p), '"'), "'")), lambda p: p != ""
     )
     return (
         F.when(~bracketed, F.array().cast("array<string>"))
-        .when(is_json(text), F.transform(values, plain_text))
-        .when(is_json(literal, _LITERAL), F.from_json(literal, "array<string>", _LITERAL))
+        .when(is_json(text), _element_texts(text, _STRICT))
+        .when(is_json(literal, _LITERAL), _element_texts(literal, _LITERAL))
         .otherwise(cleaned)
     )
 

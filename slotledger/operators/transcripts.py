@@ -11,7 +11,7 @@ from slotledger.functions.text import (
     block,
     csv_cell,
     is_json,
-    plain_text,
+    scalar_text,
     remove_all,
     string_list,
     strip,
@@ -51,20 +51,21 @@ def tool_tables(
 
 def latest_tables(tables: DataFrame) -> DataFrame:
     """Per session and title the last table, at the position of the first one."""
+    # Places first, then the records of the last ones: record lists are never aggregated.
     place = F.struct("seq", "node_no")
-    return (
-        tables.groupBy("session_id", "title")
-        .agg(
-            F.min(place).alias("first_place"),
-            F.max(F.struct("seq", "node_no", "records")).alias("last"),
-        )
-        .select(
-            "session_id",
-            F.col("first_place.seq").alias("first_seq"),
-            F.col("first_place.node_no").alias("first_node_no"),
-            "title",
-            F.col("last.records").alias("records"),
-        )
+    places = tables.groupBy("session_id", "title").agg(
+        F.min(place).alias("first"), F.max(place).alias("last")
+    )
+    places = places.select(
+        "session_id",
+        "title",
+        F.col("first.seq").alias("first_seq"),
+        F.col("first.node_no").alias("first_node_no"),
+        F.col("last.seq").alias("seq"),
+        F.col("last.node_no").alias("node_no"),
+    )
+    return tables.join(places, ["session_id", "title", "seq", "node_no"]).select(
+        "session_id", "first_seq", "first_node_no", "title", "records"
     )
 
 
@@ -198,15 +199,16 @@ def clean_report_text(agent_events: DataFrame) -> DataFrame:
 def final_text(agent_events: DataFrame, missing: str = fv.NO_CHAT_TEXT) -> DataFrame:
     """First text part of each session's last message, else a fixed sentence.
 
-    The text is taken out of its payload before the reduction, so payloads are
-    not shuffled.
+    The last message is found on two narrow columns; only its payload is parsed.
     """
+    last = agent_events.groupBy("session_id").agg(F.max("seq").alias("seq"))
     text = F.get_json_object("payload", "$.content.parts[0].text")
-    last = F.max(F.struct("seq", text.alias("text")))
     return (
-        agent_events.groupBy("session_id")
-        .agg(last.alias("last"))
-        .select("session_id", F.coalesce(F.col("last.text"), F.lit(missing)).alias("final_text"))
+        agent_events.join(last, ["session_id", "seq"])
+        .select("session_id", text.alias("text"))
+        .groupBy("session_id")
+        .agg(F.max("text").alias("text"))
+        .select("session_id", F.coalesce("text", F.lit(missing)).alias("final_text"))
     )
 
 
@@ -222,24 +224,46 @@ def _item_rows(text: Column) -> Column:
         F.when(~is_json(text), F.array(_json_object("text", text)))
         .when(body.startswith("["), F.from_json(text, "array<string>"))
         .when(body.startswith("{"), F.array(body))
-        .otherwise(F.array(_json_object("info", plain_text(scalar))))
+        .otherwise(F.array(_json_object("info", scalar_text(scalar, body))))
     )
 
 
-def parse_tool_payload(tool_payloads: DataFrame) -> DataFrame:
-    """Rows (JSON texts) that a tool returned; a message row when it returned none."""
+def _failure(payload: Column) -> Column:
+    """Error row of a response without a content list; null for any other."""
+    message = F.coalesce(
+        F.get_json_object(payload, "$.error.message"), F.lit(fv.TOOL_ERROR_UNKNOWN)
+    )
+    unreadable = F.format_string(fv.TOOL_NOT_JSON, F.coalesce(payload, F.lit("")))
+    raw = F.struct(F.lit(fv.TOOL_NOT_RECOGNISED).alias("error"), payload.alias("raw"))
+    return (
+        F.when(~F.coalesce(is_json(payload), F.lit(False)), _json_object("error", unreadable))
+        .when(
+            F.get_json_object(payload, "$.error").isNotNull(),
+            _json_object("error", F.format_string(fv.TOOL_ERROR, message)),
+        )
+        .when(_content(payload).isNull(), F.to_json(raw))
+    )
+
+
+def _content(payload: Column) -> Column:
     schema = "result struct<content:array<struct<type:string,text:string>>>"
-    items = F.from_json("payload", schema)["result"]["content"]
+    return F.from_json(payload, schema)["result"]["content"]
+
+
+def parse_tool_payload(tool_payloads: DataFrame) -> DataFrame:
+    """Rows (JSON texts) that a tool returned; a message row when it returned none.
+
+    A failed call, a response in another form and unreadable JSON give an error row.
+    """
+    items = _content(F.col("payload"))
     texts = F.filter(items, lambda i: (i["type"] == "text") & i["text"].isNotNull())
     rows = F.flatten(F.transform(texts, lambda i: _item_rows(i["text"])))
     none = F.array(_json_object("message", F.lit(fv.NO_TOOL_DATA)))
-    return (
-        tool_payloads.select("call_id", rows.alias("rows"))
-        .where(F.col("rows").isNotNull())
-        .select(
-            "call_id",
-            F.posexplode(F.when(F.size("rows") > 0, F.col("rows")).otherwise(none)).alias(
-                "row_no", "row"
-            ),
-        )
+    failure = _failure(F.col("payload"))
+    found = tool_payloads.select("call_id", failure.alias("failure"), rows.alias("rows"))
+    shown = (
+        F.when(F.col("failure").isNotNull(), F.array("failure"))
+        .when(F.size("rows") > 0, F.col("rows"))
+        .otherwise(none)
     )
+    return found.select("call_id", F.posexplode(shown).alias("row_no", "row"))

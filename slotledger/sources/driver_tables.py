@@ -252,7 +252,7 @@ PAYLOAD_TOOL = """
       ELSE 'forecast_monthly_costs' END
 """
 # Tool payload: a list, an object, a number, plain text, a flag or nothing.
-TOOL_TEXT_KIND = "(conv_id + 2 * turn) % 6"
+TOOL_TEXT_KIND = "(conv_id + 2 * turn) % 11"
 
 
 def _message_payload() -> str:
@@ -282,11 +282,14 @@ def _tool_payload() -> str:
         CASE {TOOL_TEXT_KIND}
           WHEN 0 THEN to_json(array({record}, named_struct('a', conv_id, 'b', role)))
           WHEN 1 THEN to_json({record}) WHEN 2 THEN {_TURN} WHEN 3 THEN text
-          WHEN 4 THEN 'true' ELSE '[]' END
+          WHEN 4 THEN 'true' WHEN 6 THEN '1.50' WHEN 7 THEN {_TURN} || '.0' ELSE '[]' END
     """
-    return f"""to_json(named_struct('result', named_struct('content', array(
+    good = f"""to_json(named_struct('result', named_struct('content', array(
         named_struct('type', 'text', 'text', {body}),
         named_struct('type', 'image', 'text', 'skipped')))))"""
+    failed = f"to_json(named_struct('error', named_struct('message', 'no ' || {_TURN})))"
+    return f"""CASE {TOOL_TEXT_KIND} WHEN 8 THEN {failed} WHEN 9 THEN '{{broken ' || {_TURN}
+        WHEN 10 THEN '{{}}' ELSE {good} END"""
 
 
 def columns(expressions: dict[str, str]) -> list[str]:

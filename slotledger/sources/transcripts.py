@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """``agent_events`` from files that each hold one response, a JSON list of messages.
 
-    The session is the file's name; a message's text is its first text part.
+    The session is the file's path below ``path`` without its ending, so equal
+    names in different folders stay apart; a message's text is its first text
+    part. A file that is no JSON list gives one row without a payload.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.json\z", "").alias("session_id"),
-        F.posexplode(F.from_json("value", "array<string>")).alias("position", "payload"),
+    place = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+    below = F.regexp_replace(place, rf"^.*\Q{path.rstrip('/').removeprefix('file://')}\E/", "")
+    name = F.when(below != place, below).otherwise(F.col("_metadata.file_name"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    messages = F.from_json("value", "array<string>")
+    files = files.select(
+        F.regexp_replace(name, r"\.json\z", "").alias("session_id"),
+        F.posexplode(
+            F.coalesce(messages, F.array(F.lit(None).cast("string")))
+        ).alias("position", "payload"),
     )
     return files.select(
         "session_id",

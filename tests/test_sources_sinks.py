@@ -111,8 +111,17 @@ def test_read_transcripts(spark, tmp_path):
     (tmp_path / "bad.json").write_text("nothing")
     rows = read_transcripts(spark, str(tmp_path)).orderBy("session_id", "seq").collect()
     assert [(r.session_id, r.seq, r.text) for r in rows] == [
-        ("one", 0, "hi\nthere"), ("one", 1, None), ("two", 0, "hi\nthere")]
-    assert json.loads(rows[0].payload) == messages[0]
+        ("bad", 0, None), ("one", 0, "hi\nthere"), ("one", 1, None), ("two", 0, "hi\nthere")]
+    assert rows[0].payload is None
+    assert json.loads(rows[1].payload) == messages[0]
+
+
+def test_equal_file_names_are_different_sessions(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "s1.json").write_text(json.dumps([{"content": {"parts": [{"text": folder}]}}]))
+    rows = read_transcripts(spark, str(tmp_path)).collect()
+    assert sorted((r.session_id, r.seq, r.text) for r in rows) == [("a/s1", 0, "a"), ("b/s1", 0, "b")]
 
 
 def test_adhoc_sql_with_parameters(warehouse):

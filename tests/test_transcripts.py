@@ -192,6 +192,9 @@ def test_chart_csv(messages):
     ('[FOLLOW_UP]["a"] and ["b"][/FOLLOW_UP]', ['a"] and ["b']),
     ("[FOLLOW_UP]a, b[/FOLLOW_UP]", []),
     ("[FOLLOW_UP][][/FOLLOW_UP]", []),
+    ("[FOLLOW_UP]['a, b', None][/FOLLOW_UP]", ["a, b", "None"]),
+    ("[FOLLOW_UP]['so, None, left', True, 1.0][/FOLLOW_UP]", ["so, None, left", "True", "1.0"]),
+    ('[FOLLOW_UP]["1.50", 1.0, 2.50][/FOLLOW_UP]', ["1.50", "1.0", "2.5"]),
     ('[FOLLOW_UP][1, true, null, 2.5][/FOLLOW_UP]', ["1", "True", "None", "2.5"]),
     ('[FOLLOW_UP]["first"][/FOLLOW_UP] [FOLLOW_UP]["second"][/FOLLOW_UP]', ["first"]),
     ("no tag", []),
@@ -279,7 +282,15 @@ def test_payload_items_are_concatenated(frame):
     payload["result"]["content"].insert(1, {"type": "image", "text": "no"})
     assert payload_rows(frame, payload) == [{"a": 1}, {"text": "x"}]
     assert payload_rows(frame, {"result": {"content": []}}) == [{"message": fv.NO_TOOL_DATA}]
-    assert payload_rows(frame, {"error": {"message": "m"}}) == []
+    assert payload_rows(frame, {"error": {"message": "m"}}) == [{"error": "MCP Error: m"}]
+    assert payload_rows(frame, {"error": {}}) == [{"error": "MCP Error: Unknown error"}]
+    assert payload_rows(frame, {}) == [{"error": fv.TOOL_NOT_RECOGNISED, "raw": "{}"}]
+
+
+@pytest.mark.parametrize("text,wanted", [
+    ("1.0", "1.0"), ("1.50", "1.5"), ("-0.25", "-0.25"), ("12", "12"), ("100.00", "100.0")])
+def test_numbers_keep_their_text(frame, text, wanted):
+    assert payload_rows(frame, content(text)) == [{"info": wanted}]
 
 
 # --- broken input ---------------------------------------------------------------
