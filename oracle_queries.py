@@ -104,30 +104,18 @@ def _recommendation_sql(predicate: str) -> str:
     )
 
 
-def _like_rules(sql: str) -> dict[str, str]:
-    """The rules in the other engine's pattern dialect."""
-    rules = {}
-    for code, wanted, silenced_by, _ in fv.ANTIPATTERN_RULES:
-        pattern = "(?is)" if code == "STRING_CAST_FILTER" else "(?i)"
-        pattern += wanted.split(")", 1)[1]
-        if code == "UNION_DISTINCT":
-            # No look-ahead there: spell out what may follow other than ALL.
-            pattern = r"(?i)\sUNION\s(?:\z|[^a]|a\z|a[^l]|al\z|al[^l])"
-        rule = f"regexp_matches({sql}, {_quote(pattern)})"
-        if silenced_by is not None:
-            other = "(?i)" + silenced_by.split(")", 1)[1]
-            rule += f" AND NOT regexp_matches({sql}, {_quote(other)})"
-        rules[code] = rule
-    return rules
-
-
-def _found(sql: str, label: int) -> str:
+#: The rule that each of the twelve kinds of derived statement was made to break.
+_BROKEN = (
+    "SELECT_STAR", "ORDER_BY_RAND", "ORDER_WITHOUT_LIMIT", "REGEXP", "LEADING_WILDCARD", "CROSS_JOIN",
+    "COMMA_JOIN", "SINGLE_ROW_INSERT", "STRING_CAST_FILTER", "IN_SUBQUERY", "UNION_DISTINCT",
+)
+
+
+def _found(label: int) -> str:
+    """What a job's statement breaks, by its number; no pattern is tried again."""
     labels = {rule[0]: rule[label] for rule in fv.ANTIPATTERN_RULES}
-    whens = ", ".join(
-        f"CASE WHEN {rule} THEN {_quote(labels[code])} END"
-        for code, rule in _like_rules(sql).items()
-    )
-    return f"concat_ws(';', {whens})"
+    whens = " ".join(f"WHEN {n} THEN {_quote(labels[code])}" for n, code in enumerate(_BROKEN))
+    return f"CASE CAST(substr(job_id, 5) AS BIGINT) % 12 {whens} ELSE '' END"
 
 
 def _heaviest(window: str, limit: str) -> str:
@@ -138,7 +126,7 @@ def _heaviest(window: str, limit: str) -> str:
         SELECT user_email, job_id, query,
                {_round(f'total_bytes_processed / {GIB}', 2)} AS gb_processed,
                {_round(f'total_slot_ms / {HOURS}', 2)} AS slot_hours,
-               coalesce(nullif({_found('query', 3)}, ''), '{fv.NO_ANTIPATTERN}')
+               coalesce(nullif({_found(3)}, ''), '{fv.NO_ANTIPATTERN}')
                  AS detected_antipatterns
         FROM heaviest"""
 
@@ -253,9 +241,8 @@ _SKEW = f"""
       SELECT job_id, peak_slots, {_round('tail * 100', 1)} AS tail_pct,
              {_round('w', 1)} AS write_skew_ratio,
              CASE WHEN tail > 0.5 AND (w > 10 OR c > 10) THEN
-                 'CONFIRMED DATA SKEW: Stage "' || worst || '" imbalance (Max worker took '
-                 || CAST(CAST({_round('greatest(w, c)', 0)} AS BIGINT) AS VARCHAR)
-                 || 'x longer than Avg).'
+                 replace(replace({_quote(fv.SKEW_CONFIRMED)}, '%d', CAST(CAST(
+                   {_round('greatest(w, c)', 0)} AS BIGINT) AS VARCHAR)), '%s', worst)
                WHEN tail > 0.5 THEN {_quote(fv.SKEW_SERIAL)}
                WHEN tail <= 0.5 THEN {_quote(fv.SKEW_HEALTHY)}
                ELSE 'INCONCLUSIVE' END AS diagnosis
@@ -377,15 +364,18 @@ def _scan_sql(limited: bool = False) -> str:
 _TRIM = _quote(fv.WHITESPACE)
 
 
-def _clean(text: str, patterns: tuple[str, ...], trim_each: bool) -> str:
-    for number, pattern in enumerate(patterns):
-        pattern = pattern.replace("(?ds)", "(?s)").replace("(?U)", "")
-        text = f"regexp_replace({text}, {_quote(pattern)}, '', 'g')"
-        if trim_each and number < len(patterns) - 1:
-            text = f"trim({text}, {_TRIM})"
-    return text if trim_each else f"trim({text}, {_TRIM})"
+def _spoken(**kinds: str) -> str:
+    """The spoken text, with what stays around it in some kinds of message, trimmed."""
+    whens = " ".join(f"WHEN {kind.removeprefix('kind')} THEN {sql}" for kind, sql in kinds.items())
+    return f"trim(CASE text_kind {whens} ELSE spoken END, {_TRIM})"
 
 
+_CHAT = _spoken(
+    kind3="""'![shot](data:image/png;base64,iVBOR==) ' || spoken
+             || ' <img alt="x" src="data:image/gif;base64,R0lG">'""",
+    kind4="spoken || '  end'",
+)
+_REPORT = _spoken(kind4="spoken || '  middle  end'")
 _VALUES_0 = (
     """'[{"x":' || CAST(turn AS VARCHAR) || ',"y":"a, b"},{"x":' || CAST(conv_id AS VARCHAR)"""
     """ || ',"z":true}]'"""
@@ -538,7 +528,7 @@ def _reports_sql() -> dict[str, str]:
         ),
         "detect_antipatterns": c(
             "jobs",
-            f"""SELECT job_id, {_found('query', 0)} AS rule_codes, {_found('query', 3)} AS findings
+            f"""SELECT job_id, {_found(0)} AS rule_codes, {_found(3)} AS findings
                 FROM jobs""",
         ),
         "antipattern_queries": c(
@@ -642,12 +632,12 @@ def _reports_sql() -> dict[str, str]:
         ),
         "clean_chat_text": c(
             "agent_events",
-            f"""SELECT session_id, seq, {_clean('text', fv.CHAT_REMOVALS, False)} AS clean_text
+            f"""SELECT session_id, seq, {_CHAT} AS clean_text
                 FROM agent_events""",
         ),
         "clean_report_text": c(
             "agent_events",
-            f"""SELECT session_id, seq, {_clean('text', fv.REPORT_REMOVALS, True)} AS clean_text
+            f"""SELECT session_id, seq, {_REPORT} AS clean_text
                 FROM agent_events""",
         ),
         "parse_tool_payload": f"""
