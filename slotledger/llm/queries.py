@@ -13,6 +13,7 @@ from slotledger.llm import (
     licenses,
     mixing,
     ngram_join,
+    oracles,
     pii,
     quality_model,
     quality_rules,
@@ -102,4 +103,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": licenses.scan_sql()}
+    return oracles.oracle_sql()
