@@ -9,8 +9,8 @@ be decoded in any order, each also from its checkpoints. ``read_files`` decodes
 them and tells where each document starts in the whole sequence.
 
 White space separates words for this tokenizer family (it is dropped before the
-merges), so each distinct word is encoded once per task and kept in a cache of
-fixed size.
+merges) and case is ignored, so each distinct word is encoded once and kept in a
+cache of fixed size.
 
 Edge cases: a null text counts as empty and has the end id only. Null ids come
 first; rows with one id are ordered by the hash of their text and each keep a
@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import sys
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -40,7 +42,11 @@ from slotledger.llm.workers import kept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+#: Lower-case words of printable ASCII: how this tokenizer family splits them (fixed values).
+PLAIN = re.compile(rb"[!-@\[-~]+").fullmatch
+PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+MARKS = "\U0001f602\u2192\u2026"
 BLOCK_TOKENS = 1 << 18
 BLOCKS = "part int, block int, doc_ids array<bigint>, sizes array<bigint>, n_tokens bigint"
 
@@ -55,22 +61,64 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.splits_plainly = sys.byteorder == "little" and all(
+            self._ids(text.decode()) == [t.id for part in PARTS(text) for t in self.tokenizer.model.tokenize(part.decode())]
+            for text in (b"it's", b"a1,b", b"we're", b"x''s", b"(abc)...12", b"i'm'll'd", b"-_-")
+        )
+        # A character that is a token of its own between spaces marks where a word ends.
+        marks = ((c, self._ids(c)) for c in MARKS)
+        self.mark, self.mark_id = next(((c, ids[0]) for c, ids in marks if len(ids) == 1), (None, None))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words in one text, which costs far less than one call each, and cut its ids."""
+        texts = [w.decode() for w in words]
+        if self.mark is None or self.mark in "".join(texts):
+            for word, text in zip(words, texts, strict=True):
+                self.cache[word] = np.array(self._ids(text), "<u2").tobytes()
+            return
+        ids = np.array(self._ids(f" {self.mark} ".join(texts)), "<u2")
+        cuts = np.flatnonzero(ids == self.mark_id).tolist()
+        raw = ids.tobytes()
+        for word, start, end in zip(words, [-1, *cuts], [*cuts, len(ids)], strict=True):
+            self.cache[word] = raw[2 * start + 2 : 2 * end]
 
     def encode(self, blobs: list[bytes]) -> list[bytes]:
         """Ids of each text, two bytes each."""
-        lists = [blob.split() for blob in blobs]
+        lists = [blob.lower().split() for blob in blobs]  # the tokenizer ignores case
         new = list(set().union(*lists).difference(self.cache))
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = list(set().union(*lists))
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, one in zip(part, found, strict=True):
-                self.cache[word] = np.array(one.ids, "<u2").tobytes()
+        if self.splits_plainly:
+            new = self._learn_plain(new)
+        for start in range(0, len(new), 2048):
+            self._learn(new[start : start + 2048])
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in lists]
 
+    def _learn_plain(self, words: list[bytes]) -> list[bytes]:
+        """Encode the words that only need splitting before the merges; the others come back."""
+        rest, tokenize, parts = [], self.tokenizer.model.tokenize, self.parts
+        if len(parts) > CACHE_WORDS:
+            parts.clear()
+        for word in words:
+            if not PLAIN(word):
+                rest.append(word)
+                continue
+            coded = b""
+            for part in PARTS(word):
+                ids = parts.get(part)
+                if ids is None:
+                    found = [token.id for token in tokenize(part.decode())]
+                    ids = parts[part] = array("H", found).tobytes()
+                coded += ids
+            self.cache[word] = coded
+        return rest
+
 
 class WordTokenizer:
     """The tokenizer file as it travels with the query; ids must be below 65,536."""
