@@ -47,8 +47,8 @@ LAST = (1 << 63) - 1  # stands for a null id
 class Settings:
     length: int = 20
     seed: int = 6  # words of a seed; at most 16 seeds to a window
-    flush_windows: int = 1 << 20  # windows a map task holds
-    bucket_windows: int = 1 << 20  # windows that meet in one task, about
+    flush_windows: int = 1 << 19  # windows a map task holds
+    bucket_windows: int = 1 << 19  # windows that meet in one task, about
 
 
 #: A seed occurrence: hash, document, place of the seed, and which windows it brings
