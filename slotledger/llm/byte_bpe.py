@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import sys
+from array import array
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -35,7 +36,7 @@ from slotledger.llm.workers import kept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 CACHED_BYTES = 64  # longer matches are encoded each time
 NONE = 1 << 62
 SHIFT = 32
@@ -49,7 +50,7 @@ class Vocabulary:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids of a match, four bytes each
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match."""
@@ -111,17 +112,17 @@ class Vocabulary:
         return out
 
     def encode(self, text: str) -> list[int]:
-        cache, out = self.cache, []
+        cache, parts = self.cache, []
         for match in self.split(text):
             ids = cache.get(match)
             if ids is None:
-                ids = tuple(self.merge(match.encode()))
+                ids = array("I", self.merge(match.encode())).tobytes()
                 if len(match) <= CACHED_BYTES:
                     if len(cache) >= CACHE_ENTRIES:
                         cache.clear()
                     cache[match] = ids
-            out += ids
-        return out
+            parts.append(ids)
+        return array("I", b"".join(parts)).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
