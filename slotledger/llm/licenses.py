@@ -133,8 +133,7 @@ def units(text: Column) -> Column:
     return F.array_distinct(F.transform(every, lambda u: F.trim(F.translate(u, "\n", " "))))
 
 
-def _bigrams(unit: Column) -> Column:
-    words = F.split(unit, " +", -1)
+def _pairs(words: Column) -> Column:
     pairs = F.transform(
         F.sequence(F.lit(1), F.size(words) - 1),
         lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)),
@@ -142,6 +141,11 @@ def _bigrams(unit: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
+def _bigrams(unit: Column) -> Column:
+    # The words are bound once; an expression inside the inner function would be split again for each pair.
+    return F.element_at(F.transform(F.array(F.split(unit, " +", -1)), _pairs), 1)
+
+
 def _template_array(templates) -> Column:
     rows = []
     for number, (name, text) in enumerate(templates):
