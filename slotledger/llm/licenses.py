@@ -83,6 +83,7 @@ TEMPLATES = (
     ),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
+    ("Proprietary", "All rights reserved."),
 )
 
 THRESHOLD_PERCENT = 80

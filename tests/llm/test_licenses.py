@@ -41,3 +41,21 @@ def test_awkward_and_empty_tables(awkward, no_documents):
     assert licenses.scan_licenses(no_documents).count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_kind_of_notice_in_the_documents_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kinds = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "All rights reserved.": "Proprietary",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    wanted = {
+        r["doc_id"]: {name for line, name in kinds.items() if line in r["text"].split("\n")}
+        for r in docs.where("text IS NOT NULL").collect()
+    }
+    assert {name for names in wanted.values() for name in names} == set(kinds.values())
+    found = {r["doc_id"]: set(r["licenses"].split(",")) for r in licenses.scan_licenses(docs).collect()}
+    assert all(names <= found[i] for i, names in wanted.items())
