@@ -682,7 +682,8 @@ def ngram_components(docs: DataFrame, settings: Settings | None = None) -> DataF
         .groupBy("bucket")
         .applyInArrow(_regions(cut), "p binary, x binary, sure boolean")
     )
-    regions = written(kinds.groupBy("p", "x").agg(F.max("sure").alias("sure")), "regions")
+    # A class can be in a region by a sure shingle and by a rare one: the latter is compared all the same.
+    regions = written(kinds.distinct(), "regions")
     near = (
         regions.where("NOT sure")
         .join(classes.select(F.col("key").alias("x"), "n", "sketch"), "x")

@@ -44,6 +44,21 @@ def test_passage_shared_by_all_links_nothing(spark):
     assert all(c == d for d, _, c in _found(docs))
 
 
+def test_rare_shingles_link_members_of_a_wide_region(spark):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(80)]
+    rows = []
+    for i in range(40):  # 18 rare shingles and one of the passage in the prefix; in the near copy's, none
+        own = [f"w{rng.randrange(10**9)}" for _ in range(18)]
+        edited = [*passage[:40], f"e{i}", *passage[41:]]
+        rows += [(2 * i, " ".join(own + passage)), (2 * i + 1, " ".join(own + edited))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = sorted(brute.link_components(rows), key=repr)
+    assert all(c == d - d % 2 for d, _, c in wanted)
+    for settings in ({"region_run": 3}, {"local_run": 2}, SPLIT):
+        assert _found(docs, ngram_join.Settings(**settings)) == wanted
+
+
 def test_one_of_each_group_stays(awkward):
     kept = ngram_join.keep_one_of_each(awkward)
     assert kept.columns == awkward.columns
