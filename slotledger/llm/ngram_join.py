@@ -135,6 +135,7 @@ def _shapes(n: int) -> Callable:
                     {
                         "doc_id": batch["doc_id"][start:end],
                         "address": batch["address"][start:end],
+                        "tie": batch["tie"][start:end],
                         "key": pa.array([k.tobytes() for k in keys], pa.binary()),
                         "n": pa.array(sizes),
                         "sketch": pa.array(sketches, pa.binary()),
@@ -148,6 +149,7 @@ def _shapes(n: int) -> Callable:
                 {
                     "doc_id": pa.nulls(m, pa.int64()),
                     "address": pa.nulls(m, pa.string()),
+                    "tie": pa.nulls(m, pa.int64()),
                     "key": pa.nulls(m, pa.binary()),
                     "n": pa.nulls(m, pa.int64()),
                     "sketch": pa.array([b.tobytes() for b in blocks], pa.binary()),
@@ -648,21 +650,35 @@ def _address(text: Column) -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.xxhash64(text)))
 
 
+def _tie(text: Column) -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(text)
+
+
 def ngram_components(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_key`` of every row of ``docs``.
 
     ``class_key`` is equal for rows with equal sets (null: no set); ``component_id``
     is the least id that links reach.
     """
+    return _linked_rows(docs, settings).select("doc_id", "n_shingles", "component_id", "class_key")
+
+
+def _linked_rows(docs: DataFrame, settings: Settings | None) -> DataFrame:
+    """The columns of ``ngram_components``, with the component's own key and the tie of the text."""
     cut = settings or Settings()
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     source = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), _address(text).alias("address"), text.alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        _address(text).alias("address"),
+        _tie(text).alias("tie"),
+        text.alias("text"),
     )
     shapes = written(
         source.mapInArrow(
-            _shapes(cut.n), "doc_id long, address string, key binary, n long, sketch binary, block int"
+            _shapes(cut.n),
+            "doc_id long, address string, tie long, key binary, n long, sketch binary, block int",
         ),
         "shapes",
     )
@@ -724,29 +740,42 @@ def ngram_components(docs: DataFrame, settings: Settings | None = None) -> DataF
     ).withColumn("component", F.coalesce("component", "key"))
     joined = written(joined, "joined")
     least = joined.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    by_key = joined.join(least, "component").select("key", "component_id")
-    linked = rows.where("n > 0").select("doc_id", "n", "key").join(by_key, "key")
-    out = ("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("class_key"))
+    by_key = joined.join(least, "component").select("key", "component", "component_id")
+    linked = rows.where("n > 0").select("doc_id", "tie", "n", "key").join(by_key, "key")
+    out = (
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("class_key"), "component", "tie"
+    )
+    none = F.lit(None).cast("binary")
     alone = rows.where("n = 0").select(
-        "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("key")
+        "doc_id", "tie", "n", F.col("doc_id").alias("component_id"), none.alias("key"), none.alias("component")
     )
     return linked.select(*out).unionByName(alone.select(*out))
 
 
 def keep_one_of_each(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The documents whose id is the least of their component, with all their columns.
+    """One row of each component, with all its columns: of the least id (null: last), then text hash.
 
-    Documents without words stay, and so does one row of a component without ids.
-    Where several rows have the least id of a component, one of them stays.
+    Rows without words all stay. Rows are told apart by id and text hash; of rows equal
+    in both any one stays.
     """
-    linked = ngram_components(docs, settings)
-    stay = (
-        linked.where("class_key IS NULL OR doc_id = component_id")
-        .select("doc_id")
-        .where("doc_id IS NOT NULL")
-        .distinct()
+    found = _linked_rows(docs, settings).select("doc_id", "tie", "component")
+    best = (
+        found.where("component IS NOT NULL")
+        .groupBy("component", "doc_id", "tie")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .groupBy("component")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie", "copies")).alias("best"))
+        .select("best.doc_id", "best.tie", (F.col("best.copies") > 1).alias("several"))
     )
-    mark = "_id"
-    while mark in docs.columns:
-        mark += "_"
-    return docs.join(stay.withColumnRenamed("doc_id", mark), F.col("doc_id") == F.col(mark)).drop(mark)
+    wordless = found.where("component IS NULL").select("doc_id", "tie", F.lit(False).alias("several")).distinct()
+    stay = written(best.unionByName(wordless), "stay")
+    free = [name for i in range(len(docs.columns) + 3) if (name := f"_stay{i}") not in docs.columns]
+    mark, tie, several = free[:3]
+    stay = stay.toDF(mark, tie, several)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(mark)) & (_tie(F.col("text").cast("string")) == F.col(tie))
+    kept = docs.join(stay.where(~F.col(several)), same).select(*docs.columns)
+    repeated = stay.where(several)
+    if not repeated.isEmpty():
+        one = docs.join(repeated, same).dropDuplicates([mark, tie])
+        kept = kept.unionByName(one.select(*docs.columns))
+    return kept

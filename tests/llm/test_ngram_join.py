@@ -67,6 +67,25 @@ def test_one_of_each_group_stays(awkward):
     assert {i for i in ids if i is not None} == {c for c in linked.values() if c is not None}
 
 
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**9)}" for _ in range(30)) for _ in range(5))
+    rows = [
+        (None, a), (None, a), (None, ""), (None, None), (None, ""), (5, b), (5, b), (5, c), (7, b), (None, c),
+        (3, d), (8, d), (8, e), (4, " "), (4, None), (9, e.upper()), (6, f"{a} more"), (None, "alone here"),
+    ]
+    docs = spark.createDataFrame([(*r, {"at": i}) for i, r in enumerate(rows)], "doc_id long, text string, _id map<string,int>")
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one_of_each(docs.repartition(3)).collect()]
+    wanted = [
+        (None, ""), (None, ""), (None, None), (5, b), (5, c), (3, d), (8, e), (4, " "), (4, None), (6, f"{a} more"),
+        (None, "alone here"),
+    ]
+    assert sorted(kept, key=repr) == sorted(wanted, key=repr)
+    nameless = docs.where("doc_id IS NULL AND text <> ''")
+    kept = [r["text"] for r in ngram_join.keep_one_of_each(nameless).collect()]
+    assert sorted(kept) == sorted([a, c, "alone here"])
+
+
 def test_empty_table(no_documents):
     assert _found(no_documents) == []
     assert ngram_join.keep_one_of_each(no_documents).count() == 0
