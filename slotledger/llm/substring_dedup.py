@@ -103,10 +103,13 @@ def _not_first(keys: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 def _packed(doc, crc, start, offset, seed, own, kind) -> tuple[np.ndarray, np.ndarray]:
-    """Windows in place order as runs of one seed occurrence, and the windows' hashes (48 bits)."""
+    """Windows in place order as runs of one seed occurrence, and the windows' hashes (48 bits).
+
+    Starts rise within a run: a repeated row begins runs of its own, so each window has its bit.
+    """
     at = start + offset
     new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
+    new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]) | (start[1:] <= start[:-1])
     first = np.flatnonzero(new)
     runs = np.empty(len(first), kind)
     for name, values in (("doc", doc), ("crc", crc), ("at", at), ("seed", seed)):
@@ -143,6 +146,8 @@ def _seeds(cut: Settings, buckets: int) -> Callable:
         runs, six = _packed(*(x[rest] for x in (doc, crc, start, offset, seed, own)), RUN)
         place = (mix(runs["seed"]) % np.uint64(buckets)).astype(np.int64)
         sizes = np.bitwise_count(runs["mask"]).astype(np.int64)
+        if sizes.sum() != len(six):
+            raise ValueError(f"runs of {sizes.sum()} windows have {len(six)} hashes")
         order = np.argsort(place, kind="stable")
         # Hashes follow their runs into the bucket.
         begin = (np.cumsum(sizes) - sizes)[order]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import brute
+import numpy as np
 import pytest
 
 from slotledger.llm import substring_dedup
@@ -25,6 +26,25 @@ def test_repeated_rows_do_not_remove_each_other(spark):
     assert [(r[0], r[2]) for r in _found(docs)] == [(1, 0), (1, 0), (2, 30)]
 
 
+@pytest.mark.parametrize("doc_id", [1, None])
+def test_repeated_short_rows_before_a_passage_shared_across_tasks(spark, doc_id):
+    short, passage = (" ".join(f"{w}{i}" for i in range(n)) for w, n in (("s", 20), ("p", 60)))
+    rows = [(doc_id, short), (doc_id, short), (2, f"a {passage}"), (3, f"b {passage}"), (4, "c"), (5, "d")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert [len(part) for part in docs.rdd.glom().collect()] == [3, 3]
+    removed = [(i, n) for i, _, n, _ in substring_dedup.remove_repeats(docs).collect()]
+    assert sorted(removed, key=repr) == sorted([(doc_id, 0), (doc_id, 0), (2, 0), (3, 60), (4, 0), (5, 0)], key=repr)
+
+
+def test_each_window_of_repeated_rows_has_its_bit():
+    text = " ".join(f"w{i}" for i in range(20)).encode()
+    cut = substring_dedup.Settings()
+    document, start, offset, seed, own = substring_dedup.windows_of([text, text, text], cut)
+    same = np.zeros(len(start), np.int64)
+    runs, hashes = substring_dedup._packed(same, same, start, offset, seed, own, substring_dedup.RUN)
+    assert np.bitwise_count(runs["mask"]).sum() == len(hashes) == 3
+
+
 def test_kept_text(spark):
     passage = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, f"a {passage}"), (2, f"b\n{passage} c")], "doc_id long, text string")
