@@ -8,6 +8,13 @@ unit's number of bigrams limits the templates that it can reach, and a unit
 without any cue word cannot share enough bigrams with any template (cue words
 are chosen from the templates so that this holds).
 
+What no matching unit covers is searched by windows of its words, across line ends,
+so a notice within a sentence or wrapped over lines is found too. A window of the
+greatest Dice begins and ends with a bigram of its template; such windows are
+compared, up to the length that the threshold allows. Of windows that overlap the
+best stays (by Dice, then length, then template). The words that are common to text
+and template prune without loss here as well. ``scan_sql`` checks the units only.
+
 Nothing is shuffled; every row is scanned on its own.
 
 Edge cases: a null, empty or wordless text has no units and matches nothing; a
@@ -162,14 +169,108 @@ def _template_array(templates) -> Column:
     return F.array(*rows)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+WINDOW = "struct<dice:double,length:int,order:int,start:int,license:string,words:string>"
+
+
+def _uncovered(text: Column, matched: Column) -> Column:
+    """Stretches of a normalised text between the lines and paragraphs that match."""
+    flat = lambda u: F.trim(F.translate(u, "\n", " "))
+    lines = lambda p: F.array_join(
+        F.transform(F.split(p, "\n", -1), lambda u: F.when(F.array_contains(matched, F.trim(u)), "\n").otherwise(u)), " "
+    )
+    rest = F.transform(
+        F.split(text, r"\n[ \n]*\n", -1),
+        lambda p: F.when(F.array_contains(matched, flat(p)), "\n").otherwise(lines(p)),
+    )
+    whole = F.array_contains(matched, flat(text))
+    return F.when(whole, F.array().cast("array<string>")).otherwise(
+        F.transform(F.split(F.array_join(rest, " "), "\n", -1), lambda u: F.trim(u))
+    )
+
+
+def _windows(stretch: Column, table: Column, every: Column, percent: int) -> Column:
+    """Windows of a stretch that match, the best of those that overlap."""
+
+    def of_words(words: Column) -> Column:
+        pairs = F.transform(
+            F.sequence(F.lit(1), F.size(words) - 1),
+            lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)),
+        )
+        return F.when(F.size(words) > 1, _let(pairs, lambda p: of_pairs(words, p))).otherwise(
+            F.array().cast(f"array<{WINDOW}>")
+        )
+
+    def of_pairs(words: Column, pairs: Column) -> Column:
+        common = F.array_intersect(pairs, every)
+        return _let(
+            common,
+            lambda c: F.flatten(
+                F.transform(
+                    # A match shares t / (2 - t) of the template's bigrams at least.
+                    F.filter(
+                        table,
+                        lambda t: F.size(F.array_intersect(t["bigrams"], c)) * (200 - percent) >= t["size"] * percent,
+                    ),
+                    lambda t: of_template(words, pairs, t),
+                )
+            ),
+        )
+
+    def of_template(words: Column, pairs: Column, t: Column) -> Column:
+        places = F.filter(
+            F.sequence(F.lit(1), F.size(pairs)), lambda i: F.array_contains(t["bigrams"], F.element_at(pairs, i))
+        )
+
+        def scored(start: Column, end: Column) -> Column:
+            return _let(
+                F.array_distinct(F.slice(pairs, start, end - start + 1)),
+                lambda b: F.struct(
+                    (F.lit(2.0) * F.size(F.array_intersect(b, t["bigrams"])) / (F.size(b) + t["size"])).alias("dice"),
+                    (end - start + 1).alias("length"),
+                    (-t["number"]).alias("order"),
+                    start.alias("start"),
+                    t["license"].alias("license"),
+                    F.array_join(F.slice(words, start, end - start + 2), " ").alias("words"),
+                ),
+            )
+
+        def from_place(at: Column, start: Column) -> Column:
+            ends = F.filter(
+                at,
+                lambda e: (e >= start)
+                & ((e - start + 1) * (200 - percent) >= t["size"] * percent)
+                & ((e - start + 1) * percent <= t["size"] * (200 - percent)),
+            )
+            return F.transform(ends, lambda e: scored(start, e))
+
+        found = _let(places, lambda at: F.flatten(F.transform(at, lambda start: from_place(at, start))))
+        return F.filter(found, lambda w: w["dice"] * 100 >= percent)
+
+    apart = lambda v, w: (
+        (v["start"] > w["start"] + w["length"]) | (w["start"] > v["start"] + v["length"])
+    )
+    found = _let(F.split(stretch, " +", -1), of_words).cast(f"array<{WINDOW}>")
+    return F.aggregate(
+        F.sort_array(found, asc=False),
+        F.array().cast(f"array<{WINDOW}>"),
+        lambda kept, w: F.when(F.forall(kept, lambda v: apart(v, w)), F.concat(kept, F.array(w))).otherwise(kept),
+    )
+
+
 def license_matches(
     text: Column, templates=TEMPLATES, percent: int = THRESHOLD_PERCENT
 ) -> Column:
-    """Array of (license, dice, number) of the units that match, each with its best template."""
+    """Array of (dice, license, words) of the units that match, each with its best template,
+    and of the windows that match elsewhere; equal words count once."""
     cues = F.array(*[F.lit(w) for w in cue_words(templates, percent)])
-    likely = F.filter(units(normalised(text)), lambda u: F.arrays_overlap(F.split(u, " +", -1), cues))
-    sets = F.transform(likely, lambda u: F.struct(_bigrams(u).alias("bigrams")))
+    hints = lambda u: F.arrays_overlap(F.split(u, " +", -1), cues)
     table = _template_array(templates)
+    every = F.array(*[F.lit(b) for b in dict.fromkeys(b for _, t in templates for b in plain_bigrams(t))])
 
     def score(unit: Column) -> Column:
         size = F.size(unit["bigrams"])
@@ -187,18 +288,43 @@ def license_matches(
                 ).alias("dice"),
                 (-t["number"]).alias("order"),
                 t["license"].alias("license"),
+                unit["words"].alias("words"),
             ),
         )
         return F.array_max(F.filter(scored, lambda s: s["dice"] * 100 >= percent))
 
-    return F.filter(F.transform(sets, score), lambda m: m.isNotNull())
+    def matches(clean: Column, likely: Column) -> Column:
+        sets = F.transform(likely, lambda u: F.struct(u.alias("words"), _bigrams(u).alias("bigrams")))
+        whole = F.filter(F.transform(sets, score), lambda m: m.isNotNull())
+        return _let(whole, lambda m: F.concat(_plain(m), inside(clean, F.transform(m, lambda x: x["words"]))))
+
+    def inside(clean: Column, matched: Column) -> Column:
+        rest = F.filter(_uncovered(clean, matched), hints)
+        found = _plain(F.flatten(F.transform(rest, lambda u: _windows(u, table, every, percent))))
+        # Equal words have equal best templates, so whole rows are compared.
+        return F.filter(F.array_distinct(found), lambda w: ~F.array_contains(matched, w["words"]))
+
+    def of_text(clean: Column) -> Column:
+        return _let(
+            F.filter(units(clean), hints),
+            lambda likely: F.when(F.size(likely) > 0, matches(clean, likely)).otherwise(
+                F.array().cast("array<struct<dice:double,license:string,words:string>>")
+            ),
+        )
+
+    return _let(normalised(text), of_text)
+
+
+def _plain(found: Column) -> Column:
+    fields = ("dice", "license", "words")
+    return F.transform(found, lambda m: F.struct(*[m[f].alias(f) for f in fields]))
 
 
 def scan_licenses(
     docs: DataFrame, templates=TEMPLATES, percent: int = THRESHOLD_PERCENT
 ) -> DataFrame:
-    """``doc_id, n_matches, licenses, best_dice`` of every row: units that match, the distinct
-    licences in order of name, and the highest coefficient (null: none)."""
+    """``doc_id, n_matches, licenses, best_dice`` of every row: units and windows that match, the
+    distinct licences in order of name, and the highest coefficient (null: none)."""
     found = docs.select("doc_id", license_matches(F.col("text").cast("string"), templates, percent).alias("m"))
     return found.select(
         "doc_id",
@@ -209,7 +335,7 @@ def scan_licenses(
 
 
 def scan_sql(templates=TEMPLATES, percent: int = THRESHOLD_PERCENT) -> str:
-    """The same result as DuckDB SQL: every unit against every template, nothing pruned."""
+    """The matches of units as DuckDB SQL: every unit against every template, nothing pruned."""
 
     def text(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"

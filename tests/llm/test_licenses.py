@@ -59,3 +59,23 @@ def test_every_kind_of_notice_in_the_documents_is_found(spark):
     assert {name for names in wanted.values() for name in names} == set(kinds.values())
     found = {r["doc_id"]: set(r["licenses"].split(",")) for r in licenses.scan_licenses(docs).collect()}
     assert all(names <= found[i] for i, names in wanted.items())
+
+
+def test_notices_within_lines_and_across_line_ends(spark):
+    mit, apache = licenses.TEMPLATES[3][1], licenses.TEMPLATES[6][1]
+    words, other = mit.split(), " ".join(f"f{i}" for i in range(80))
+    wrapped = "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    found = _scan(
+        spark, "Copyright 2020 Foo. Licensed under the MIT License.",
+        "some words before it, licensed under the Apache License, version 2.0, and then some more after it",
+        f"{other}\nsecond line {wrapped} and more\nlast line",
+        "a paragraph that is licensed under the\nGNU General Public License, version 2. It goes on\nfor long",
+        "(c) 2020 Foo. All rights reserved. Made by many.", f"{other} {apache} z",
+        "All rights reserved.\nWe said: all rights reserved, and under CC BY 4.0, licensed under CC BY-NC 4.0 too.",
+        "the license of this software is free of terms", "all the rights are reserved in part",
+    )
+    assert [(n, names) for n, names, _ in found] == [
+        (1, "MIT"), (1, "Apache-2.0"), (1, "MIT"), (1, "GPL-2.0"), (1, "Proprietary"), (1, "Apache-2.0"),
+        (3, "CC-BY-4.0,CC-BY-NC-4.0,Proprietary"), (0, ""), (0, ""),
+    ]
+    assert all(dice == 1.0 for n, _, dice in found if n)
