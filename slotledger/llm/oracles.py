@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotledger.llm import licenses
+from slotledger.llm import collocations, filter_audit, licenses, vector_dedup
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
@@ -58,4 +58,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard": NGRAM_JACCARD,
         "op3_substring_dedup": SUBSTRING_DEDUP,
         "op7_license_scan": licenses.scan_sql(),
+        "op11_vector_dedup": vector_dedup.near_groups_sql(),
+        "op12_collocations": collocations.phrases_sql(),
+        "op13_filter_audit": filter_audit.audit_sql(),
     }

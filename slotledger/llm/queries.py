@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from slotledger.llm import (
     byte_bpe,
+    collocations,
+    filter_audit,
     licenses,
     mixing,
     ngram_join,
@@ -19,6 +21,7 @@ from slotledger.llm import (
     quality_rules,
     substring_dedup,
     token_files,
+    vector_dedup,
     vector_search,
 )
 
@@ -86,6 +89,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_read(spark, sf_dir, "documents"), byte_tokenizer())
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_groups(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_read(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_pii,
@@ -98,6 +113,9 @@ def queries() -> dict[str, Query]:
         op8_quality_model,
         op9_token_files,
         op10_byte_bpe,
+        op11_vector_dedup,
+        op12_collocations,
+        op13_filter_audit,
     )
     return {query.__name__: query for query in found}
 

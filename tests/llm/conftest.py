@@ -3,18 +3,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from brute import prose
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = "key string, n long, h long, kept boolean, base string, cell long, copies long, _kept int, _id int"
 
-VOWELS = ["a", "e", "io", "ou"]
-
-
-def prose(rng: random.Random, n: int) -> str:
-    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice(VOWELS) for _ in range(rng.randint(1, 3))) for _ in range(n)]
-    return " ".join(words).capitalize()
-
-
 def texts() -> list[str | None]:
     """Awkward texts: null, empty, blank, short, copies, near copies, shared passages, very long ones."""
     rng = random.Random(3)
