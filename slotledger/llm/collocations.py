@@ -22,7 +22,7 @@ result is empty. Columns other than text and lang are not read.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -35,13 +35,14 @@ from slotledger.llm.quotient_filter import Packing, filters, merged, summed
 from slotledger.llm.scratch import written
 from slotledger.llm.word_ids import (
     VOCABULARY,
+    VOCABULARY_FIELDS,
+    Dictionary,
     Numbers,
     batch,
-    dictionary,
+    buckets_for,
     renumbered,
     shard_ids,
     shards_of,
-    with_ids,
 )
 from slotledger.llm.words import as_bytes, grams, mix
 
@@ -54,38 +55,53 @@ PIECES = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + 10 * BREAK
 )
 RANGE_KEYS, MOST_RANGE_BITS = 1 << 22, 14  # words a range; ranges at most
+SLICE, HELD = 1 << 18, 1 << 20  # numbers in a row; n-grams that a task holds before it sums them
 BITS_A_GRAM, MOST_BITS = 16, 1 << 30  # bitmap: 128 MB at most
 
 SHARDS = f"{VOCABULARY}, n_words int, sequence binary"
-_SHARDS = pa.schema(
-    [("shard", pa.int64()), ("local", pa.int32()), ("part", pa.string()), ("word", pa.binary()), ("n", pa.int64()),
-     ("n_words", pa.int32()), ("sequence", pa.binary())]
-)
+_SHARDS = pa.schema([*VOCABULARY_FIELDS, ("n_words", pa.int32()), ("sequence", pa.binary())])
 _IDS = pa.schema([("ids", pa.binary())])
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(buckets: int) -> Callable:
     """Word numbers of the texts of a shard, -1 between pieces; the words of each language apart."""
-    ids = shard_ids()
-    for taken in shards_of(batches):
-        docs = pa.Table.from_batches(taken)
-        blobs, parts = as_bytes(docs["text"].combine_chunks()), docs["part"].to_pylist()
-        numbers, sequences, shard = Numbers(), [], next(ids)
-        for part in sorted(set(parts)):
-            whole = b"\n".join(b for b, p in zip(blobs, parts, strict=True) if p == part)
-            spaced = whole.translate(PIECES).replace(BREAK, b" " + BREAK + b" ")
-            found, _ = numbers.of(part, pa.array([spaced], pa.binary()))
-            _, first, words = numbers.words[-1]
-            at = words.index(BREAK).as_py()
-            if at >= 0:
-                found = np.where(found == first + at, np.int32(-1), found)
-            sequences += [found, np.array([-1], np.int32)]
-        sequence = np.concatenate(sequences)
-        body = {"shard": [shard], "n_words": [numbers.size], "sequence": [sequence.tobytes()]}
-        yield batch(_SHARDS, {name: pa.array(v, _SHARDS.field(name).type) for name, v in body.items()})
-        counts = np.bincount(sequence[sequence >= 0], minlength=numbers.size)
-        for vocabulary in numbers.rows(shard, counts):
-            yield batch(_SHARDS, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shard_ids()
+        for taken in shards_of(batches):
+            docs = pa.Table.from_batches(taken)
+            blobs, parts = as_bytes(docs["text"].combine_chunks()), docs["part"].to_pylist()
+            numbers, sequences, shard = Numbers(), [], next(ids)
+            for part in sorted(set(parts)):
+                whole = b"\n".join(b for b, p in zip(blobs, parts, strict=True) if p == part)
+                spaced = whole.translate(PIECES).replace(BREAK, b" " + BREAK + b" ")
+                found, _ = numbers.of(part, pa.array([spaced], pa.binary()))
+                _, first, words = numbers.words[-1]
+                at = words.index(BREAK).as_py()
+                if at >= 0:
+                    found = np.where(found == first + at, np.int32(-1), found)
+                sequences.append(np.append(found, np.int32(-1)))
+                del whole, spaced, found
+            del blobs, docs
+            counts = np.zeros(numbers.size, np.int64)
+            for sequence in _slices(sequences):
+                body = {"shard": [shard], "n_words": [numbers.size], "sequence": [sequence.tobytes()]}
+                yield batch(_SHARDS, {name: pa.array(v, _SHARDS.field(name).type) for name, v in body.items()})
+                counts += np.bincount(sequence[sequence >= 0], minlength=numbers.size)
+            for vocabulary in numbers.packed(shard, counts, buckets):
+                yield batch(_SHARDS, vocabulary)
+
+    return run
+
+
+def _slices(sequences: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """About ``SLICE`` numbers at a time, cut between pieces: rows of bounded size."""
+    for sequence in sequences:
+        breaks, start = np.flatnonzero(sequence < 0), 0
+        while start < len(sequence):
+            cut = breaks[min(int(np.searchsorted(breaks, start + SLICE)), len(breaks) - 1)]
+            yield sequence[start : cut + 1]
+            start = int(cut) + 1
 
 
 def _with_ids(row: dict, ids: np.ndarray) -> Iterable[pa.RecordBatch]:
@@ -125,8 +141,19 @@ def _counted(k: int, bits: int, range_bits: int, known):
     """Filters of the n-grams of ``k`` words of each sequence."""
     packing = Packing(k, bits)
 
+    def summary(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = summed(np.concatenate(held))
+        made = list(filters(keys, counts, range_bits))
+        return pa.RecordBatch.from_pydict(
+            {
+                "part": pa.array([part for part, _ in made], pa.int32()),
+                "filter": pa.array([blob for _, blob in made], pa.binary()),
+            }
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shorter = known.value if known is not None else None
+        held, size = [], 0
         for one in batches:
             for blob in one["ids"]:
                 words = np.frombuffer(blob.as_py(), np.int32)
@@ -134,14 +161,13 @@ def _counted(k: int, bits: int, range_bits: int, known):
                 if shorter is not None and len(starts):
                     may = shorter.has(words)
                     starts = starts[may[starts] & may[starts + 1]]
-                keys, counts = summed(packing.scatter(words, starts))
-                made = list(filters(keys, counts, range_bits))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array([part for part, _ in made], pa.int32()),
-                        "filter": pa.array([blob for _, blob in made], pa.binary()),
-                    }
-                )
+                held.append(packing.scatter(words, starts))
+                size += len(starts)
+                if size >= HELD:
+                    yield summary(held)
+                    held, size = [], 0
+        if size:
+            yield summary(held)
 
     return run
 
@@ -200,18 +226,17 @@ def count_grams(
         F.col("text").cast("string").alias("text"),
         F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("part"),
     )
-    shards = written(wanted.mapInArrow(_shards, SHARDS), "sequences")
-    every = dictionary(shards.where("word IS NULL OR word <> X'FF'"))
-    totals = written(every.groupBy("part").agg(F.sum("n").alias("n")), "totals")
-    often = every.drop("id").where(F.col("n") >= least)
-    words = written(with_ids(often, "part", "word"), "frequent_words")
-    n_ids = words.count()
+    shards = written(wanted.mapInArrow(_shards(buckets_for(docs)), SHARDS), "sequences")
+    dictionary = Dictionary(shards, least)
+    totals = written(dictionary.totals(), "totals")
+    words = written(dictionary.words(), "frequent_words")
+    n_ids = dictionary.size()
     n_all = totals.agg(F.sum("n")).first()[0] or 0
     bits = max(1, (n_ids - 1).bit_length()) if n_ids else 1
     if bits > 31:
         raise ValueError(f"{n_ids} frequent words; ids are kept in 31 bits")
     range_bits = min(MOST_RANGE_BITS, (n_all // RANGE_KEYS).bit_length())
-    sequences = written(renumbered(shards, words, _with_ids, "ids binary"), "ids")
+    sequences = written(renumbered(shards, dictionary, _with_ids, "ids binary"), "ids")
     levels = [words.select(F.array(F.col("id").cast("int")).alias("gram"), F.col("n").alias("f"))]
     shorter = None
     for k in range(2, longest + 1):

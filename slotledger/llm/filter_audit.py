@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from slotledger.llm.scratch import written
 from slotledger.llm.word_ids import (
     VOCABULARY,
+    VOCABULARY_FIELDS,
+    Dictionary,
     Numbers,
     batch,
-    dictionary,
+    buckets_for,
     renumbered,
     shard_ids,
     shards_of,
@@ -50,23 +52,25 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT_PCT, MOST_CAPITALS_PCT = 100, 80, 10
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SLICE, MOST_DOCS = 1 << 17, 1 << 12  # words and documents in a row
 MARKS = b"#$%&*|"
 CONTINUED = bytes(range(0x80, 0xC0))  # UTF-8 bytes that start no code point
 
 SHARDS = (
     f"{VOCABULARY}, n_words int, doc_ids array<bigint>, parts array<string>, hashes array<binary>, "
-    "flags binary, row_ends binary, columns binary, counts binary"
+    "flags binary, row_ends binary, cells binary, repeats binary"
 )
 ROWS = "doc_id bigint, part string, hash binary, mask int, n_words bigint, n_distinct bigint"
 
 
-def _arrow(ddl: str) -> pa.Schema:
-    kinds = {
-        "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(),
-        "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
-        "array<binary>": pa.list_(pa.binary()),
-    }
-    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(", "))])
+_SHARDS = pa.schema(
+    [*VOCABULARY_FIELDS, ("n_words", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.string())),
+     ("hashes", pa.list_(pa.binary())), *[(name, pa.binary()) for name in ("flags", "row_ends", "cells", "repeats")]]
+)
+_ROWS = pa.schema(
+    [("doc_id", pa.int64()), ("part", pa.string()), ("hash", pa.binary()), ("mask", pa.int32()),
+     ("n_words", pa.int64()), ("n_distinct", pa.int64())]
+)
 
 
 def _own_flags(blob: bytes) -> int:
@@ -77,48 +81,69 @@ def _own_flags(blob: bytes) -> int:
     return (100 * capitals > MOST_CAPITALS_PCT * points) << 2 | marked << 3
 
 
-def _rows(shard: int, taken: list[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _rows(shard: int, taken: list[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of the matrix, with the shard's own column numbers, and the shard's words."""
     docs = pa.Table.from_batches(taken).combine_chunks()
     texts = pc.fill_null(docs["text"].combine_chunks(), "")
     numbers = Numbers()
     words, widths = numbers.of("", texts)
-    cells, counts = np.unique(np.repeat(np.arange(len(widths)), widths) << 32 | words, return_counts=True)
-    stored = np.bincount(cells >> 32, minlength=len(widths))
-    columns = (cells & 0xFFFFFFFF).astype(np.int32)
     blobs = as_bytes(texts)
-    body = {
-        "shard": [shard], "n_words": [numbers.size],
-        "doc_ids": [docs["doc_id"].to_pylist()], "parts": [docs["part"].to_pylist()],
-        "hashes": [[hashlib.sha256(blob).digest()[:16] for blob in blobs]],
-        "flags": [bytes(map(_own_flags, blobs))], "row_ends": [np.cumsum(stored).tobytes()],
-        "columns": [columns.tobytes()], "counts": [counts.astype(np.int32).tobytes()],
-    }
-    yield batch(schema, {name: pa.array(value, schema.field(name).type) for name, value in body.items()})
-    total = np.bincount(words, minlength=numbers.size)
-    for vocabulary in numbers.rows(shard, total):
-        yield batch(schema, vocabulary)
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema, ids = _arrow(SHARDS), shard_ids()
-    for taken in shards_of(batches):
-        yield from _rows(next(ids), taken, schema)
+    total = np.zeros(numbers.size, np.int64)
+    for start, stop in _slices(widths):
+        docs_of, words_of = docs.slice(start, stop - start), words[: widths[start:stop].sum()]
+        words = words[len(words_of) :]
+        rows = np.repeat(np.arange(stop - start), widths[start:stop])
+        cells, counts = np.unique(rows << 32 | words_of, return_counts=True)
+        columns = (cells & 0xFFFFFFFF).astype(np.int32)
+        body = {
+            "shard": [shard], "n_words": [numbers.size],
+            "doc_ids": [docs_of["doc_id"].to_pylist()], "parts": [docs_of["part"].to_pylist()],
+            "hashes": [[hashlib.sha256(blob).digest()[:16] for blob in blobs[start:stop]]],
+            "flags": [bytes(map(_own_flags, blobs[start:stop]))],
+            "row_ends": [np.cumsum(np.bincount(cells >> 32, minlength=stop - start)).tobytes()],
+            "cells": [columns.tobytes()],
+            # Most counts fit a byte.
+            "repeats": [counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32).tobytes()],
+        }
+        yield batch(_SHARDS, {name: pa.array(value, _SHARDS.field(name).type) for name, value in body.items()})
+        np.add.at(total, columns, counts)
+    for vocabulary in numbers.packed(shard, total, buckets):
+        yield batch(_SHARDS, vocabulary)
+
+
+def _slices(widths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with about ``SLICE`` words, or one document: rows of bounded size."""
+    ends, start = np.cumsum(widths), 0
+    while start < len(ends):
+        held = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + SLICE, side="right")))
+        stop = min(stop, start + MOST_DOCS)
+        yield start, stop
+        start = stop
+
+
+def _shards(buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shard_ids()
+        for taken in shards_of(batches):
+            yield from _rows(next(ids), taken, buckets)
+
+    return run
 
 
 def _judged(row: dict, ids: np.ndarray) -> Iterable[pa.RecordBatch]:
     """Filters A to D of a shard's documents; A and B from the matrix with global columns."""
-    columns = ids[np.frombuffer(row["columns"], np.int32)]
-    counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
+    columns = ids[np.frombuffer(row["cells"], np.int32)]
+    narrow = len(row["repeats"]) == len(columns)
+    counts = np.frombuffer(row["repeats"], np.uint8 if narrow else np.int32).astype(np.int64)
     ends = np.frombuffer(row["row_ends"], np.int64)
     sums = np.diff(np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], ends])])
     stored = np.diff(np.concatenate([[0], np.cumsum(columns >= 0)])[np.concatenate([[0], ends])])
     mask = np.frombuffer(row["flags"], np.uint8).astype(np.int32)
     mask = mask | (sums < LEAST_WORDS) | (100 * stored < LEAST_DISTINCT_PCT * sums) << 1
     columns = [row["doc_ids"], row["parts"], row["hashes"], mask, sums, stored]
-    schema = _arrow(ROWS)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+        [pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS
     )
 
 
@@ -129,13 +154,13 @@ def matrix_shards(docs: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
     )
-    return written(wanted.mapInArrow(_shards, SHARDS), "matrix")
+    return written(wanted.mapInArrow(_shards(buckets_for(docs)), SHARDS), "matrix")
 
 
 def judged_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, part, hash, mask, n_words, n_distinct``: filters A to D as bits of ``mask``."""
     shards = matrix_shards(docs)
-    return renumbered(shards, dictionary(shards), _judged, ROWS)
+    return renumbered(shards, Dictionary(shards), _judged, ROWS)
 
 
 def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:

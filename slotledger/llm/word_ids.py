@@ -1,13 +1,14 @@
 """A dictionary of words over all texts, and texts as shards of word numbers.
 
 Tasks number the words of about ``SHARD_BYTES`` of text as they meet them and write a
-shard: one row with the numbers, and one row for each word it holds. The dictionary
-is made from the words of the shards, so a word is shuffled once a shard, not
-once an occurrence, and is never gathered anywhere. ``renumbered`` then sends each
-shard the dictionary's ids of its own words.
+shard: rows with the numbers, and its words, packed by buckets of their hash. The
+dictionary is made bucket by bucket from the words of the shards, so a word is shuffled
+once a shard, not once an occurrence, and in rows of many words. The same tasks tell
+each shard the places its words have in their buckets; ``renumbered`` brings these to the
+shard. Buckets grow in number with the input (``buckets_for``), so none grows with it much.
 
 Words belong to a part (a language, or '' where there is only one); equal words of
-different parts have different ids.
+different parts have different ids. Ids are 0, 1, 2, ... without gaps.
 """
 
 from __future__ import annotations
@@ -24,12 +25,34 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from slotledger.llm.scratch import written
+from slotledger.llm.words import mix
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHARD_BYTES = 16 << 20
-BUCKETS = 256
-VOCABULARY = "shard bigint, local int, part string, word binary, n bigint"
+SHARD_BYTES = 8 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 32, 1 << 16
+VOCABULARY = "shard bigint, bucket int, part string, locals binary, words binary, counts binary"
+VOCABULARY_FIELDS = [
+    ("shard", pa.int64()), ("bucket", pa.int32()), ("part", pa.string()), ("locals", pa.binary()),
+    ("words", pa.binary()), ("counts", pa.binary()),
+]
+ENTRIES = "part string, bucket int, shard bigint, locals binary, codes binary, words binary, counts binary, n_all bigint, n_kept bigint"
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """Number of buckets: four for each partition that the documents are read in."""
+    partitions = docs.rdd.getNumPartitions()
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (4 * partitions - 1).bit_length()))
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each of some words, none empty; the same in every task."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    starts = ends[:-1] - ends[0]
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(ends))
+    weights = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+    return mix(np.add.reduceat((data + np.uint64(1)) * weights[place & 255], starts))
 
 
 class Numbers:
@@ -62,19 +85,31 @@ class Numbers:
         self.size += len(found)
         return numbers, widths
 
-    def rows(self, shard: int, counts: np.ndarray, width: int = 1 << 16) -> Iterator[dict[str, pa.Array]]:
-        """Columns of the vocabulary: ``counts`` has the occurrences of each number."""
+    def packed(self, shard: int, counts: np.ndarray, buckets: int) -> Iterator[dict[str, pa.Array]]:
+        """Columns of the vocabulary, a row a bucket; ``counts`` has the occurrences of each number.
+
+        Words that do not occur are left out.
+        """
         for part, first, words in self.words:
             used = np.flatnonzero(counts[first : first + len(words)])
-            for at in range(0, len(used), width):
-                mine = used[at : at + width]
-                yield {
-                    "shard": pa.array(np.full(len(mine), shard)),
-                    "local": pa.array((mine + first).astype(np.int32)),
-                    "part": pa.array([part] * len(mine), pa.string()),
-                    "word": words.take(pa.array(mine)),
-                    "n": pa.array(counts[mine + first].astype(np.int64)),
-                }
+            if not len(used):
+                continue
+            mine = words.take(pa.array(used))
+            bucket = (_hashes(mine) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, used, mine = bucket[order], used[order], mine.take(pa.array(order))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), mine)
+            locals_, n = (used + first).astype(np.int32), counts[used + first].astype(np.int64)
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            yield {
+                "shard": pa.array(np.full(len(spans), shard)),
+                "bucket": pa.array(bucket[cuts[:-1]]),
+                "part": pa.array([part] * len(spans), pa.string()),
+                "locals": pa.array([locals_[a:b].tobytes() for a, b in spans], pa.binary()),
+                "words": pc.binary_join(lists, b" "),
+                "counts": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
+            }
 
 
 def shard_ids() -> Iterator[int]:
@@ -111,53 +146,103 @@ def batch(schema: pa.Schema, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     )
 
 
-def with_ids(words: DataFrame, *keys: str) -> DataFrame:
-    """Adds ``id``: 0, 1, 2, ... over the distinct ``keys``, dealt out bucket by bucket.
+def _entries(least: int) -> Callable:
+    """One bucket of the dictionary, and where each shard's words are in it."""
 
-    Rows are ordered inside buckets of a hash only; what is added to a bucket's places
-    comes from a table with a row a bucket.
-    """
-    dealt = words.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
-    first = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    first = first.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
-    return (
-        dealt.withColumn("_place", place)
-        .join(F.broadcast(first), "_bucket")  # at most BUCKETS rows
-        .withColumn("id", F.col("_first") + F.col("_place") - 1)
-        .drop("_bucket", "_place", "_first")
-    )
-
-
-def dictionary(shards: DataFrame) -> DataFrame:
-    """``(part, word, n, id)`` of every word; ids are unique, not dense."""
-    counted = shards.where("local IS NOT NULL").groupBy("part", "word").agg(F.sum("n").alias("n"))
-    # Once written the ids stay as they are, whatever is computed again.
-    return written(counted.withColumn("id", F.monotonically_increasing_id()), "words")
+    def run(group: pa.Table) -> pa.Table:
+        part, bucket = group["part"][0].as_py(), group["bucket"][0].as_py()
+        packed = group["words"].combine_chunks().view(pa.string())
+        lists = pc.ascii_split_whitespace(packed)
+        coded = lists.flatten().dictionary_encode()
+        places = coded.indices.to_numpy(zero_copy_only=False)
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in group["counts"].to_pylist()])
+        totals = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(totals, places, counts)
+        kept = totals >= least
+        code = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        rows = []
+        for shard, numbers, start, end in zip(
+            group["shard"].to_pylist(), group["locals"].to_pylist(), [0, *ends[:-1]], ends, strict=True
+        ):
+            mine = code[places[start:end]]
+            known = mine >= 0
+            if known.any():
+                numbers = np.frombuffer(numbers, np.int32)[known]
+                rows.append((part, bucket, shard, numbers.tobytes(), mine[known].tobytes(), None, None, None, None))
+        words = coded.dictionary.view(pa.binary()).filter(pa.array(kept)).to_pylist()
+        rows.append(
+            (part, bucket, None, None, None, b" ".join(words), totals[kept].tobytes(), int(totals.sum()), len(words))
+        )
+        kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+        names = [field.split()[0] for field in ENTRIES.split(", ")]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+class Dictionary:
+    """Words that occur ``least`` times over all shards, with ids without gaps."""
+
+    def __init__(self, shards: DataFrame, least: int = 1):
+        vocabulary = shards.where("words IS NOT NULL").select(*[name for name, _ in VOCABULARY_FIELDS])
+        self.entries = written(vocabulary.groupBy("part", "bucket").applyInArrow(_entries(least), ENTRIES), "entries")
+        sizes = self.entries.where("shard IS NULL").select("part", "bucket", "n_kept")
+        before = Window.orderBy("part", "bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+        self.firsts = sizes.select(
+            "part", "bucket", F.coalesce(F.sum("n_kept").over(before), F.lit(0)).alias("first")
+        )
+
+    def totals(self) -> DataFrame:
+        """``part, n``: occurrences of all words, those left out included."""
+        return self.entries.where("shard IS NULL").groupBy("part").agg(F.sum("n_all").alias("n"))
+
+    def size(self) -> int:
+        return self.entries.agg(F.coalesce(F.sum("n_kept"), F.lit(0))).first()[0]
+
+    def words(self) -> DataFrame:
+        """``part, word, n, id`` of every word."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for one in batches:
+                for row in one.to_pylist():
+                    words = row["words"].split()
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "part": pa.array([row["part"]] * len(words), pa.string()),
+                            "word": pa.array(words, pa.binary()),
+                            "n": np.frombuffer(row["counts"], np.int64),
+                            "id": np.arange(len(words)) + row["first"],
+                        }
+                    )
+
+        packed = self.entries.where("shard IS NULL").join(self.firsts, ["part", "bucket"])
+        return packed.select("part", "words", "counts", "first").mapInArrow(
+            run, "part string, word binary, n bigint, id bigint"
+        )
 
 
 def renumbered(
-    shards: DataFrame, words: DataFrame, use: Callable[[dict, np.ndarray], Iterable[pa.RecordBatch]], schema: str
+    shards: DataFrame, words: Dictionary, use: Callable[[dict, np.ndarray], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """What ``use`` makes of each shard and the ids of its words, -1 for those not in ``words``.
+    """What ``use`` makes of each row of each shard and the ids of the shard's words.
 
-    ``use`` gets the shard's row and an array from number to id. A shard and its words are
-    bounded by ``SHARD_BYTES`` or one text.
+    ``use`` gets the row and an array from number to id, -1 for words not in the dictionary. A
+    shard and its words are bounded by ``SHARD_BYTES`` or one text.
     """
-    bodies = shards.where("local IS NULL").drop("local", "part", "word", "n")
+    bodies = shards.where("words IS NULL").drop(*[name for name, _ in VOCABULARY_FIELDS[1:]])
     mine = (
-        shards.where("local IS NOT NULL")
-        .select("shard", "local", "part", "word")
-        .join(words.select("part", "word", "id"), ["part", "word"])
-        .select(F.col("shard").alias("of_shard"), "local", "id")
+        words.entries.where("shard IS NOT NULL")
+        .join(words.firsts, ["part", "bucket"])
+        .select(F.col("shard").alias("of_shard"), "first", "locals", "codes")
     )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in left.to_pylist():
-            ids = np.full(row["n_words"], -1, np.int64)
-            ids[right["local"].to_numpy()] = right["id"].to_numpy()
+        out, rows = [], left.to_pylist()
+        ids = np.full(max((row["n_words"] for row in rows), default=0), -1, np.int64)
+        for some in right.to_pylist():
+            ids[np.frombuffer(some["locals"], np.int32)] = np.frombuffer(some["codes"], np.int32) + some["first"]
+        for row in rows:
             out.extend(use(row, ids))
         return pa.Table.from_batches(out)
 

@@ -86,7 +86,9 @@ def test_no_documents(spark, no_documents, labels):
 
 def test_matrix_has_one_column_a_word(spark, documents):
     shards = filter_audit.matrix_shards(documents)
-    words = {r["word"]: r["n"] for r in word_ids.dictionary(shards).collect()}
+    rows = word_ids.Dictionary(shards).words().collect()
+    assert sorted(r["id"] for r in rows) == list(range(len(rows)))
+    words = {r["word"]: r["n"] for r in rows}
     wanted: dict = {}
     for r in documents.select("text").collect():
         for w in brute.words(r["text"]):
