@@ -41,9 +41,11 @@ from slotledger.llm.word_ids import (
     Numbers,
     batch,
     buckets_for,
+    expanded,
     renumbered,
     shard_ids,
     shards_of,
+    squeezed,
 )
 from slotledger.llm.words import as_bytes
 
@@ -101,9 +103,8 @@ def _rows(shard: int, taken: list[pa.RecordBatch], buckets: int) -> Iterator[pa.
             "hashes": [[hashlib.sha256(blob).digest()[:16] for blob in blobs[start:stop]]],
             "flags": [bytes(map(_own_flags, blobs[start:stop]))],
             "row_ends": [np.cumsum(np.bincount(cells >> 32, minlength=stop - start)).tobytes()],
-            "cells": [columns.tobytes()],
-            # Most counts fit a byte.
-            "repeats": [counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32).tobytes()],
+            # Columns rise within a row, so steps are small; so are most counts.
+            "cells": [squeezed(_steps(columns, cells >> 32))], "repeats": [squeezed(counts)],
         }
         yield batch(_SHARDS, {name: pa.array(value, _SHARDS.field(name).type) for name, value in body.items()})
         np.add.at(total, columns, counts)
@@ -111,6 +112,14 @@ def _rows(shard: int, taken: list[pa.RecordBatch], buckets: int) -> Iterator[pa.
         yield batch(_SHARDS, vocabulary)
 
 
+def _steps(columns: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Steps between the columns of a row; a row's first column as it is."""
+    steps = np.diff(columns, prepend=0)
+    new = np.diff(rows, prepend=-1) != 0
+    steps[new] = columns[new]
+    return steps
+
+
 def _slices(widths: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of documents with about ``SLICE`` words, or one document: rows of bounded size."""
     ends, start = np.cumsum(widths), 0
@@ -133,10 +142,10 @@ def _shards(buckets: int) -> Callable:
 
 def _judged(row: dict, ids: np.ndarray) -> Iterable[pa.RecordBatch]:
     """Filters A to D of a shard's documents; A and B from the matrix with global columns."""
-    columns = ids[np.frombuffer(row["cells"], np.int32)]
-    narrow = len(row["repeats"]) == len(columns)
-    counts = np.frombuffer(row["repeats"], np.uint8 if narrow else np.int32).astype(np.int64)
-    ends = np.frombuffer(row["row_ends"], np.int64)
+    ends, counts = np.frombuffer(row["row_ends"], np.int64), expanded(row["repeats"])
+    summed = np.concatenate([[0], np.cumsum(expanded(row["cells"]))])
+    widths = np.diff(ends, prepend=0)
+    columns = ids[summed[1:] - np.repeat(summed[ends - widths], widths)]
     sums = np.diff(np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], ends])])
     stored = np.diff(np.concatenate([[0], np.cumsum(columns >= 0)])[np.concatenate([[0], ends])])
     mask = np.frombuffer(row["flags"], np.uint8).astype(np.int32)

@@ -39,6 +39,41 @@ VOCABULARY_FIELDS = [
 ENTRIES = "part string, bucket int, shard bigint, locals binary, codes binary, words binary, counts binary, n_all bigint, n_kept bigint"
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes: first all lowest bytes, then all second ones, and so on.
+
+    Shards are written and shuffled; most of their numbers are small or close to each other.
+    """
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    used = int(np.flatnonzero(planes.any(axis=1))[-1]) + 1 if planes.any() else 0
+    content = planes[:used].tobytes()
+    return bytes([used]) + len(values).to_bytes(8, "little") + pa.compress(content, codec="zstd", asbytes=True)
+
+
+def expanded(blob: bytes) -> np.ndarray:
+    """The numbers of ``squeezed``; they must not be negative."""
+    used, n = blob[0], int.from_bytes(blob[1:9], "little")
+    planes = np.zeros((8, n), np.uint8)
+    if used and n:
+        content = pa.decompress(blob[9:], decompressed_size=used * n, codec="zstd", asbytes=True)
+        planes[:used] = np.frombuffer(content, np.uint8).reshape(used, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def _pressed(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def _unpressed(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def rising(values: np.ndarray) -> np.ndarray:
+    """Steps between rising numbers, the first number first."""
+    return np.diff(values, prepend=0)
+
+
 def buckets_for(docs: DataFrame) -> int:
     """Number of buckets: four for each partition that the documents are read in."""
     partitions = docs.rdd.getNumPartitions()
@@ -100,15 +135,15 @@ class Numbers:
             bucket, used, mine = bucket[order], used[order], mine.take(pa.array(order))
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), mine)
-            locals_, n = (used + first).astype(np.int32), counts[used + first].astype(np.int64)
+            numbers, n = used + first, counts[used + first]
             spans = list(zip(cuts[:-1], cuts[1:], strict=True))
             yield {
                 "shard": pa.array(np.full(len(spans), shard)),
                 "bucket": pa.array(bucket[cuts[:-1]]),
                 "part": pa.array([part] * len(spans), pa.string()),
-                "locals": pa.array([locals_[a:b].tobytes() for a, b in spans], pa.binary()),
-                "words": pc.binary_join(lists, b" "),
-                "counts": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
+                "locals": pa.array([squeezed(rising(numbers[a:b])) for a, b in spans], pa.binary()),
+                "words": pa.array([_pressed(text) for text in pc.binary_join(lists, b" ").to_pylist()], pa.binary()),
+                "counts": pa.array([squeezed(n[a:b]) for a, b in spans], pa.binary()),
             }
 
 
@@ -151,11 +186,11 @@ def _entries(least: int) -> Callable:
 
     def run(group: pa.Table) -> pa.Table:
         part, bucket = group["part"][0].as_py(), group["bucket"][0].as_py()
-        packed = group["words"].combine_chunks().view(pa.string())
+        packed = pa.array(map(_unpressed, group["words"].to_pylist()), pa.binary()).view(pa.string())
         lists = pc.ascii_split_whitespace(packed)
         coded = lists.flatten().dictionary_encode()
         places = coded.indices.to_numpy(zero_copy_only=False)
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in group["counts"].to_pylist()])
+        counts = np.concatenate([expanded(x) for x in group["counts"].to_pylist()])
         totals = np.zeros(len(coded.dictionary), np.int64)
         np.add.at(totals, places, counts)
         kept = totals >= least
@@ -168,8 +203,8 @@ def _entries(least: int) -> Callable:
             mine = code[places[start:end]]
             known = mine >= 0
             if known.any():
-                numbers = np.frombuffer(numbers, np.int32)[known]
-                rows.append((part, bucket, shard, numbers.tobytes(), mine[known].tobytes(), None, None, None, None))
+                numbers = rising(np.cumsum(expanded(numbers))[known])
+                rows.append((part, bucket, shard, squeezed(numbers), squeezed(mine[known]), None, None, None, None))
         words = coded.dictionary.view(pa.binary()).filter(pa.array(kept)).to_pylist()
         rows.append(
             (part, bucket, None, None, None, b" ".join(words), totals[kept].tobytes(), int(totals.sum()), len(words))
@@ -241,7 +276,7 @@ def renumbered(
         out, rows = [], left.to_pylist()
         ids = np.full(max((row["n_words"] for row in rows), default=0), -1, np.int64)
         for some in right.to_pylist():
-            ids[np.frombuffer(some["locals"], np.int32)] = np.frombuffer(some["codes"], np.int32) + some["first"]
+            ids[np.cumsum(expanded(some["locals"]))] = expanded(some["codes"]) + some["first"]
         for row in rows:
             out.extend(use(row, ids))
         return pa.Table.from_batches(out)
