@@ -111,9 +111,9 @@ _BROKEN = (
 )
 
 
-def _found(label: int) -> str:
+def _found(label: int, number: bool = False) -> str:
     """What a job's statement breaks, by its number; no pattern is tried again."""
-    labels = {rule[0]: rule[label] for rule in fv.ANTIPATTERN_RULES}
+    labels = {rule[0]: str(i) if number else rule[label] for i, rule in enumerate(fv.ANTIPATTERN_RULES, 1)}
     whens = " ".join(f"WHEN {n} THEN {_quote(labels[code])}" for n, code in enumerate(_BROKEN))
     return f"CASE CAST(substr(job_id, 5) AS BIGINT) % 12 {whens} ELSE '' END"
 
@@ -398,6 +398,8 @@ _TABLE_EVENTS = """
 def oracle_sql() -> dict[str, str]:
     """Checking SQL by query; the ``_past`` queries are others as of an earlier time."""
     found = _reports_sql()
+    # The stream ends with the same minutes as the history.
+    found["slot_saturation_stream"] = found["slot_saturation_history"]
     past = "TIMESTAMP '%s'" % d.PAST_AS_OF.strftime("%Y-%m-%d %H:%M:%S")
     for key in (
         "forecast_monthly_costs", "unused_tables", "slot_saturation", "environment_scan",
@@ -531,6 +533,12 @@ def _reports_sql() -> dict[str, str]:
             f"""SELECT job_id, {_found(0)} AS rule_codes, {_found(3)} AS findings
                 FROM jobs""",
         ),
+        "adhoc_antipatterns": c(
+            "jobs",
+            f"""SELECT statement_type, CAST({_found(0, True)} AS INTEGER) AS rule_no,
+                       {_found(0)} AS rule, {_found(3)} AS finding, count(*) AS jobs
+                FROM jobs WHERE {_found(0)} <> '' GROUP BY ALL""",
+        ),
         "antipattern_queries": c(
             "jobs",
             _heaviest(_recent(30), "ORDER BY total_slot_ms DESC, query LIMIT 10"),

@@ -13,7 +13,7 @@ RULE_CODES = tuple(rule[0] for rule in fv.ANTIPATTERN_RULES)
 
 # Upper-case text that every match of a rule contains. Looking for it is far
 # cheaper than the pattern, and most texts break few rules.
-_NEEDED = {
+NEEDED = {
     "SELECT_STAR": ("*", "SELECT", "FROM"),
     "ORDER_BY_RAND": ("RAND()", "ORDER"),
     "ORDER_WITHOUT_LIMIT": ("ORDER", "BY"),
@@ -38,7 +38,7 @@ def rule_flags(sql: Column) -> dict[str, Column]:
     upper = F.upper(sql)
     flags = {}
     for code, wanted, silenced_by, _ in fv.ANTIPATTERN_RULES:
-        possible = reduce(Column.__and__, [upper.contains(text) for text in _NEEDED[code]])
+        possible = reduce(Column.__and__, [upper.contains(text) for text in NEEDED[code]])
         flag = (beyond_ascii | possible) & sql.rlike(wanted)
         if silenced_by is not None:
             flag = flag & ~sql.rlike(silenced_by)

@@ -1,8 +1,10 @@
 """Search for a key anywhere in a JSON document.
 
 Native JSON and VARIANT access needs a known path, and VARIANT sorts object
-keys, so document order is lost. These are the only Python helpers of the
-package: Arrow-batched, and fed only with documents that can hold the key.
+keys, so document order is lost. Where a key stands once in a document, though, its
+place in the text tells its value: ``first_value`` cuts the text there and reads on
+natively. Only documents with several such keys, escapes or values that have to be
+formatted go to Python, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slotledger.functions.text import is_json
+
 # The helpers travel with the query, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -67,6 +71,24 @@ def _text(value) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
+def _native_value(document: Column, key: str) -> tuple[Column, Column]:
+    """Whether the value of ``key`` can be read natively, and that value.
+
+    In valid JSON a quote after a brace, a comma or white space opens a string, as a
+    closing one is followed by none of the key's letters; with a colon behind it, the string
+    is a member's name. If it is there once, its value is what follows it.
+    """
+    member = rf'[{{,\s]"\Q{key}\E"\s*:\s*'
+    times = F.regexp_count(document, F.lit(member))
+    rest = F.regexp_extract(document, rf"(?s){member}(.*)\z", 1)
+    whole = F.regexp_extract(rest, r"\A(0|-?[1-9][0-9]*|true|false)[,}\s]", 1)
+    text = F.get_json_object(F.concat(F.lit('{"v":'), rest), "$.v")
+    easy = rest.startswith('"') | (whole != "") | F.regexp_like(rest, F.lit(r"\Anull[,}\s]"))
+    plain = ~document.contains("\\u") & F.coalesce(is_json(document), F.lit(False))
+    value = F.when(times == 1, F.when(rest.startswith('"'), text).otherwise(F.nullif(whole, F.lit(""))))
+    return plain & ((times == 0) | ((times == 1) & easy)), value
+
+
 def first_value(document: Column, key: str) -> Column:
     """First non-null value of ``key`` in document order: text, or JSON for other types."""
 
@@ -74,7 +96,9 @@ def first_value(document: Column, key: str) -> Column:
     def find(documents: pd.Series) -> pd.Series:
         return documents.map(lambda d: _text(first_match(_parse(d), key)))
 
-    return find(document)
+    native, value = _native_value(document, key)
+    # Documents that need no Python are not sent there.
+    return F.when(native, value).otherwise(find(F.when(~native, document)))
 
 
 def _record_list(response: dict) -> list | None:

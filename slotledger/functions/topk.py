@@ -1,21 +1,21 @@
 """Exact top-k over distinct values without shuffling the wide rows.
 
 ``distinct`` or "best row per text" followed by a limit would shuffle every
-wide row (SQL texts, mostly) only to throw nearly all of them away. Both
-helpers first find a lower bound of the result on the sort column, from values
-that combine on the map side to a bounded number per task. The bound is a
-scalar subquery, one value whatever the input size; where there are fewer than
-``k`` candidates it is null and nothing is cut.
+wide row (SQL texts, mostly) only to throw nearly all of them away. Distinct rows
+are cut by a rank inside hash buckets, which runs in each task. For the best row of each
+text a lower bound of the result is found first, from values that combine on the map
+side to a bounded number per task. The bound is a scalar subquery, one value
+whatever the input size; where there are fewer than ``k`` candidates it is null and
+nothing is cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TEXT_BUCKETS = 1 << 16
+ROW_BUCKETS = 1 << 8
 
 
 def top(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
@@ -34,19 +34,19 @@ def _at_or_above(df: DataFrame, column: str, candidates: DataFrame, k: int) -> D
 
 
 def newest_distinct(
-    df: DataFrame, column: str, k: int | None, *ties: Column, floor: Callable[[Column], Column]
+    df: DataFrame, column: str, k: int | None, *ties: Column, buckets: int = ROW_BUCKETS
 ) -> DataFrame:
     """The ``k`` distinct rows with the largest ``column``; all when None.
 
-    ``floor`` rounds the column down to few values (minutes, say). Each distinct
-    one comes with at least one distinct row, so the ``k``-th largest bounds the
-    result. Where very many rows share those minutes, the ``k``-th largest of the
-    column's own distinct values among them bounds it more tightly.
+    A row with one of the ``k`` largest distinct values has one of them in its hash bucket
+    too, and each value comes with a distinct row at least. So rows beyond them are
+    cut inside each task, before anything is shuffled, in one pass.
     """
     if k is not None:
-        coarse = df.select(floor(F.col(column)).alias("bound")).distinct()
-        df = _at_or_above(df, column, coarse, k)
-        df = _at_or_above(df, column, df.select(F.col(column).alias("bound")).distinct(), k)
+        bucket = F.pmod(F.xxhash64(*df.columns), F.lit(buckets))
+        order = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last(column))
+        ranked = df.withColumn("_bucket", bucket).withColumn("_rank", F.dense_rank().over(order))
+        df = ranked.where(F.col("_rank") <= k).drop("_bucket", "_rank")
     return top(df.distinct(), k, F.desc(column), *ties)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotledger import fixed_values as fv
-from slotledger.functions.clock import between, resolve, utc_minute
+from slotledger.functions.clock import between, resolve
 from slotledger.functions.identifiers import parse_table_name
 from slotledger.functions.topk import newest_distinct
 
@@ -67,6 +67,4 @@ def recent_table_users(
         .where(used)
         .select("user_email", "creation_time", "query")
     )
-    return newest_distinct(
-        uses, "creation_time", k, F.col("user_email"), F.col("query"), floor=utc_minute
-    )
+    return newest_distinct(uses, "creation_time", k, F.col("user_email"), F.col("query"))

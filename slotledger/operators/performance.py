@@ -82,31 +82,36 @@ def slot_limit(
     )
 
 
-def slots_by_minute(timeline: DataFrame) -> DataFrame:
-    """Mean slots in use per minute, rounded to whole slots."""
-    used = F.sum("period_slot_ms") / F.lit(float(fv.MS_PER_MINUTE))
-    return timeline.groupBy(utc_minute(F.col("period_start")).alias("time_bucket")).agg(
-        to_whole(used).alias("avg_slots_used")
-    )
+def mean_slots() -> Column:
+    """Mean slots in use over a minute's periods, rounded to whole slots."""
+    return to_whole(F.sum("period_slot_ms") / F.lit(float(fv.MS_PER_MINUTE)))
 
 
-def waits_by_minute(jobs: DataFrame) -> DataFrame:
-    """Query jobs submitted per minute and their mean wait in seconds.
+def is_query() -> Column:
+    return F.col("job_type") == "QUERY"
+
+
+def wait_measures() -> tuple[Column, Column]:
+    """``jobs_submitted`` and their mean wait in seconds, ``avg_wait_sec``.
 
     The mean is one division of whole-number sums, so it does not depend on the
     order in which partial sums meet.
     """
     waited = millis_between(F.col("creation_time"), F.col("start_time"))
-    return (
-        jobs.where(F.col("job_type") == "QUERY")
-        .groupBy(utc_minute(F.col("creation_time")).alias("time_bucket"))
-        .agg(
-            F.count("job_id").alias("jobs_submitted"),
-            F.round(
-                F.try_divide(F.sum(waited), F.count(waited) * fv.MS_PER_SECOND), 2
-            ).alias("avg_wait_sec"),
-        )
-    )
+    mean = F.try_divide(F.sum(waited), F.count(waited) * fv.MS_PER_SECOND)
+    return F.count("job_id").alias("jobs_submitted"), F.round(mean, 2).alias("avg_wait_sec")
+
+
+def slots_by_minute(timeline: DataFrame) -> DataFrame:
+    """Mean slots in use per minute."""
+    minute = utc_minute(F.col("period_start")).alias("time_bucket")
+    return timeline.groupBy(minute).agg(mean_slots().alias("avg_slots_used"))
+
+
+def waits_by_minute(jobs: DataFrame) -> DataFrame:
+    """Query jobs submitted per minute and their mean wait."""
+    minute = utc_minute(F.col("creation_time")).alias("time_bucket")
+    return jobs.where(is_query()).groupBy(minute).agg(*wait_measures())
 
 
 def health_status(wait_sec: Column, slots: Column, limit: Column) -> Column:
@@ -119,6 +124,22 @@ def health_status(wait_sec: Column, slots: Column, limit: Column) -> Column:
     )
 
 
+def judged_minutes(minutes: DataFrame) -> DataFrame:
+    """Minutes with their slot use in per cent of the limit and their status."""
+    used, cap = F.col("avg_slots_used"), F.col("system_slot_limit")
+    return minutes.select(
+        "time_bucket",
+        "avg_slots_used",
+        "system_slot_limit",
+        F.round(F.try_divide(used.cast("double"), cap.cast("double")) * 100, 1).alias(
+            "capacity_used_pct"
+        ),
+        "jobs_submitted",
+        "avg_wait_sec",
+        health_status(F.col("avg_wait_sec"), used, cap).alias("health_status"),
+    )
+
+
 def slot_saturation(
     jobs: DataFrame,
     jobs_timeline: DataFrame,
@@ -136,19 +157,8 @@ def slot_saturation(
     waits = waits_by_minute(between(jobs, "creation_time", start, end))
     # A global aggregate: exactly one row, whatever the input.
     limit = slot_limit(reservations, assignments, project_id)
-    used, cap = F.col("avg_slots_used"), F.col("system_slot_limit")
     minutes = usage.join(waits, "time_bucket", "left").crossJoin(F.broadcast(limit))
-    return top(minutes, k, F.desc("time_bucket")).select(
-        "time_bucket",
-        "avg_slots_used",
-        "system_slot_limit",
-        F.round(F.try_divide(used.cast("double"), cap.cast("double")) * 100, 1).alias(
-            "capacity_used_pct"
-        ),
-        "jobs_submitted",
-        "avg_wait_sec",
-        health_status(F.col("avg_wait_sec"), used, cap).alias("health_status"),
-    )
+    return judged_minutes(top(minutes, k, F.desc("time_bucket")))
 
 
 def is_slow_candidate() -> Column:

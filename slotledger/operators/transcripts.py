@@ -51,21 +51,18 @@ def tool_tables(
 
 def latest_tables(tables: DataFrame) -> DataFrame:
     """Per session and title the last table, at the position of the first one."""
-    # Places first, then the records of the last ones: record lists are never aggregated.
+    # A task keeps one table a session and title, so only those reach the shuffle, and the
+    # walk through the payloads runs once.
     place = F.struct("seq", "node_no")
-    places = tables.groupBy("session_id", "title").agg(
-        F.min(place).alias("first"), F.max(place).alias("last")
+    found = tables.groupBy("session_id", "title").agg(
+        F.min(place).alias("first"), F.max(F.struct("seq", "node_no", "records")).alias("last")
     )
-    places = places.select(
+    return found.select(
         "session_id",
-        "title",
         F.col("first.seq").alias("first_seq"),
         F.col("first.node_no").alias("first_node_no"),
-        F.col("last.seq").alias("seq"),
-        F.col("last.node_no").alias("node_no"),
-    )
-    return tables.join(places, ["session_id", "title", "seq", "node_no"]).select(
-        "session_id", "first_seq", "first_node_no", "title", "records"
+        "title",
+        F.col("last.records").alias("records"),
     )
 
 

@@ -303,9 +303,9 @@ def _struct(expressions: dict[str, str]) -> str:
 class _Tables:
     """The source tables of one folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, read: dict[str, DataFrame] | None = None):
         self.spark, self.sf_dir = spark, sf_dir
-        self._read: dict[str, DataFrame] = {}
+        self._read: dict[str, DataFrame] = dict(read or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._read:
@@ -388,6 +388,26 @@ def _tool_payloads(t: _Tables) -> DataFrame:
     )
 
 
+def driver_streams(spark: SparkSession, sf_dir: str, ended: str) -> tuple[DataFrame, DataFrame]:
+    """``jobs`` and ``jobs_timeline`` as streams of the whole ``events``.
+
+    The last event comes from the folder ``ended``: one at the end of ``write_end``'s time.
+    """
+    reader = spark.readStream.schema(_READ["events"])
+    events = reader.parquet(f"{sf_dir}/events.parquet").unionByName(reader.parquet(ended))
+    t = _Tables(spark, sf_dir, {"events": events})
+    return _jobs(t), _jobs_timeline(t)
+
+
+def write_end(spark: SparkSession, path: str, at: datetime) -> None:
+    """An event at ``at``: it ends the streams, as all other events are older."""
+    end = spark.range(1).select(
+        F.col("id").alias("event_id"), F.lit(at).alias("ts"), F.lit(0).cast("bigint").alias("user_id"),
+        F.lit("end").alias("event_type"),
+    )
+    end.write.parquet(path)
+
+
 def driver_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The derived warehouse of one test-data folder."""
     t = _Tables(spark, sf_dir)

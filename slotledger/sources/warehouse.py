@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Mapping
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,11 @@ class Warehouse:
             return self[name]
         raise AttributeError(name)
 
+    @property
+    def names(self) -> tuple[str, ...]:
+        """Names of the views this warehouse has."""
+        return tuple(self._loaders)
+
     def refresh(self) -> None:
         """Forget the views built so far: the next use lists their files again."""
         self._views.clear()
@@ -91,16 +97,17 @@ class Warehouse:
 
         A temporary view of the session that no warehouse registered is an error.
         """
+        made = _REGISTERED.setdefault(self.spark, set())
         for name in self._loaders:
             view = f"{prefix}{name}"
-            if view not in _REGISTERED and _is_temporary(self.spark, view):
+            if view not in made and _is_temporary(self.spark, view):
                 raise ValueError(f"the session has a view {view!r} of its own; give a prefix")
             self[name].createOrReplaceTempView(view)
-            _REGISTERED.add(view)
+            made.add(view)
 
 
-#: Temporary views that warehouses of this process have made.
-_REGISTERED: set[str] = set()
+#: Temporary views that warehouses have made, by session.
+_REGISTERED: WeakKeyDictionary[SparkSession, set[str]] = WeakKeyDictionary()
 
 
 def _is_temporary(spark: SparkSession, view: str) -> bool:

@@ -8,12 +8,11 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
+from places import SF_DIR  # noqa: E402
 from slotledger.schemas import view_schema  # noqa: E402
 from slotledger.session import build_session  # noqa: E402
 from slotledger.sources.driver_tables import driver_warehouse  # noqa: E402
 
-SF_DIR = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

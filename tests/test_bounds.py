@@ -92,17 +92,6 @@ def test_many_uses_in_one_minute(spark, frame):
     assert [r["query"] for r in found] == [f"q{i}" for i in range(1999, 1994, -1)]
 
 
-def test_charts_are_written_one_by_one(spark, warehouse, tmp_path):
-    charts = transcripts.chart_data_csv(warehouse.agent_events)
-    sinks.write_chart_files(charts, str(tmp_path / "charts"))
-    one = charts.orderBy("session_id", "seq").first()
-    path = f"{tmp_path}/charts/session_id={one['session_id']}/seq={one['seq']}"
-    back = "\n".join(r["value"] for r in spark.read.text(path).collect())
-    assert back + "\n" == one["csv"]
-    files = spark.read.text(str(tmp_path / "charts")).select("session_id", "seq").distinct()
-    assert files.count() == charts.count()
-
-
 def test_tables_are_written_by_title(spark, warehouse, tmp_path):
     latest = transcripts.latest_tables(transcripts.tool_tables(warehouse.agent_events))
     sinks.write_tables_by_title(latest, str(tmp_path / "tables"))
@@ -111,15 +100,6 @@ def test_tables_are_written_by_title(spark, warehouse, tmp_path):
     assert back.select("title").distinct().count() == latest.select("title").distinct().count()
 
 
-def test_a_report_is_counted_as_it_is_written(spark, warehouse, tmp_path):
-    report = run_report(warehouse, "table_permissions")
-    sinks.write_logged_report(report, "table_permissions", str(tmp_path / "r"), "bounds_event_log")
-    try:
-        assert spark.table("bounds_event_log").first()["rows"] == report.count() == spark.read.parquet(str(tmp_path / "r")).count()
-    finally:
-        spark.sql("DROP TABLE IF EXISTS bounds_event_log")
-
-
 def test_refresh_sees_new_files(spark, tmp_path, frame):
     rows = frame("reservations", [{"reservation_name": "a", "slot_capacity": 1}])
     rows.write.parquet(f"{tmp_path}/reservations")

@@ -27,8 +27,8 @@ def test_newest_distinct(spark, seed):
     pool = [None, *range(rnd.choice([2, 8, 40]))] if seed % 2 else list(range(30))
     rows = [(rnd.choice(pool), rnd.choice("abc")) for _ in range(120)]
     df = spark.createDataFrame(rows, "t bigint, v string")
-    for k, width in ((1, 1), (5, 1), (5, 7), (12, 3), (200, 1)):
-        found = newest_distinct(df, "t", k, F.col("v"), floor=lambda t: t - F.pmod(t, F.lit(width)))
+    for k, buckets in ((1, 1), (5, 1), (5, 7), (12, 3), (200, 1), (7, 256)):
+        found = newest_distinct(df, "t", k, F.col("v"), buckets=buckets)
         assert [tuple(r) for r in found.collect()] == newest_first(rows, k)
 
 

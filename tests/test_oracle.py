@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import compare
 import pytest
-from conftest import SF_DIR
+from places import SF_DIR
 
 import __spark_entry__ as contract
 

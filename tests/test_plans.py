@@ -75,9 +75,19 @@ def test_only_the_needed_columns_are_read(plan):
     assert set(columns_read(plan("data_skew"), "jobs_timeline")) == {timeline}
 
 
-def test_one_table_reads_one_leaf_until_the_result_needs_more(plan):
-    schemas = columns_read(plan("recent_table_users", table_name="t"), "jobs")
-    assert any("query" not in s and "table_id" in s and "dataset_id" not in s for s in schemas)
+def test_recent_users_take_one_pass(plan):
+    text = plan("recent_table_users", table_name="t")
+    (schema,) = columns_read(text, "jobs")
+    assert "table_id" in schema and "dataset_id" not in schema
+    assert re.search(r"WindowGroupLimit .*dense_rank.* Partial", text)
+    assert "Subquery" not in text
+
+
+def test_tables_are_extracted_once(stored):
+    from slotledger.operators import transcripts as tr
+
+    text = tr.latest_tables(tr.tool_tables(stored.agent_events))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("ArrowEvalPython", text)) == 1 and "Join" not in text
 
 
 def test_scan_reads_no_sql_text(spark, stored):
@@ -168,9 +178,10 @@ def test_group_limits_run_before_the_shuffle(plan):
 def test_skew_counts_periods_by_job_and_slot_use(shuffled):
     text = shuffled("data_skew")
     assert re.search(r"hashpartitioning\(job_id#\d+, period_slot_ms#\d+L", text)
-    # The only window over a job runs on hourly pieces, after their reduction.
-    window = text.index("Window [max(piece_peak")
-    assert "HashAggregate" in text[window:window + 2500]
+    # Peaks and tails come from the counts: nothing ranks or gathers a job's periods.
+    assert "Window" not in text
+    below = text[text.index("Exchange hashpartitioning(job_id"):]
+    assert "partial_count(1)" in below
 
 
 def test_rules_run_where_the_text_is_read(plan):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from slotledger.operators import transcripts as tr
 from slotledger.plans.adhoc import adhoc_sql
 from slotledger.schemas import VIEWS, view_schema
-from slotledger.sinks import append_event_log, write_chart_csv, write_report_bundle
-from slotledger.sources.transcripts import read_transcripts
+from slotledger.sinks import bundle_log, read_bundle, write_bundle
+from slotledger.sources.chart_store import read_charts, write_charts
+from slotledger.sources.transcripts import message_fragments, read_transcripts
 from slotledger.sources.warehouse import Warehouse, conform
 
 
@@ -74,34 +76,83 @@ def test_conform_narrows_nested_columns(spark, frame):
     assert got["r"].asDict() == {"max_slots": 7} and got["s"] is None
 
 
-def test_catalog_source_and_event_log(spark, warehouse, tmp_path):
+def test_catalog_source(spark, warehouse, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS ops LOCATION '{tmp_path}/ops'")
     try:
         warehouse.tables.write.mode("overwrite").saveAsTable("ops.tables")
         wh = Warehouse.from_catalog(spark, "ops")
         assert wh.tables.count() == warehouse.tables.count()
-        at = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
-        for days in (7, 30):
-            append_event_log(wh.tables.limit(days), "some_report", "ops.log", {"days": days}, at)
-        rows = spark.table("ops.log").orderBy("rows").collect()
-        assert [(r.key, r.params, r.rows) for r in rows] == [
-            ("some_report", '{"days": 7}', 7), ("some_report", '{"days": 30}', 30)]
     finally:
         spark.sql("DROP DATABASE ops CASCADE")
 
 
-def test_report_bundle_and_csv(spark, warehouse, tmp_path):
+def test_bundle_is_logged_once_a_run(spark, warehouse, tmp_path):
+    root, at = str(tmp_path / "bundle"), dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
+    assert bundle_log(spark, root).count() == 0
+    for n in (3, 4):  # the run is repeated
+        reports = {"a": warehouse.tables.limit(n), "b": warehouse.datasets}
+        write_bundle(reports, root, "run-1", {"a": {"n": n}}, at)
+    write_bundle({"a": warehouse.tables.limit(5)}, root, "run-2", run_at=at + dt.timedelta(days=1))
+    log = [(r.run_id, r.key, r.params, r.rows) for r in bundle_log(spark, root).orderBy("run_id", "key").collect()]
+    assert log == [("run-1", "a", '{"n": 4}', 4), ("run-1", "b", "{}", warehouse.datasets.count()),
+                   ("run-2", "a", "{}", 5)]
+    assert read_bundle(spark, root, "a").count() == 5
+    assert read_bundle(spark, root, "a", "run-1").count() == 4
+    assert read_bundle(spark, root, "b").dtypes == warehouse.datasets.dtypes
+    with pytest.raises(KeyError):
+        read_bundle(spark, root, "c")
+
+
+def test_a_failed_bundle_shows_nothing(spark, warehouse, tmp_path):
     root = str(tmp_path / "bundle")
-    write_report_bundle({"a": warehouse.tables, "b": warehouse.datasets}, root)
-    assert spark.read.parquet(f"{root}/a").count() == warehouse.tables.count()
-    assert spark.read.parquet(f"{root}/b").dtypes == warehouse.datasets.dtypes
-    records = tr.chart_records(warehouse.agent_events)
-    path = str(tmp_path / "csv")
-    write_chart_csv(records, ["x", "y", "z"], path)
-    back = spark.read.csv(path, header=True)
-    assert back.columns == ["x", "y", "z"]
-    assert back.count() == records.count()
-    assert back.where(F.col("y") == "a, b").count() > 0
+    broken = spark.range(3).selectExpr("raise_error('broken') AS x")
+    with pytest.raises(Exception, match="broken"):
+        write_bundle({"a": warehouse.tables, "b": broken}, root, "run-1")
+    assert bundle_log(spark, root).count() == 0
+    write_bundle({"a": warehouse.tables.limit(1)}, root, "run-0")
+    with pytest.raises(Exception, match="broken"):
+        write_bundle({"a": warehouse.tables, "b": broken}, root, "run-0")
+    assert read_bundle(spark, root, "a", "run-0").count() == 1
+
+
+def _charts(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_charts_share_files_and_keep_their_headers(spark, warehouse, tmp_path):
+    charts = tr.chart_data_csv(warehouse.agent_events).repartition(3)
+    path = str(tmp_path / "charts")
+    write_charts(charts, path)
+    assert _charts(read_charts(spark, path)) == _charts(charts)
+    assert len(list((tmp_path / "charts").glob("*.csv"))) <= 3 < charts.count()
+    write_charts(charts.limit(2), path, "append")
+    assert read_charts(spark, path).count() == charts.count() + 2
+    write_charts(charts.limit(1), path)
+    assert read_charts(spark, path).count() == 1
+    assert len(list((tmp_path / "charts").iterdir())) == 3  # one file, its index, the manifest
+
+
+def test_a_failed_chart_task_leaves_nothing_visible(spark, tmp_path):
+    path = str(tmp_path / "charts")
+    good = spark.createDataFrame([("a", 1, "x\n1\n")], "session_id string, seq long, csv string")
+    write_charts(good, path)
+    bad = spark.range(8, numPartitions=4).selectExpr(
+        "'s' AS session_id", "id AS seq", "if(id = 6, raise_error('broken'), 'x\n2\n') AS csv"
+    )
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="broken"):
+            write_charts(bad, path, mode)
+        assert _charts(read_charts(spark, path)) == [("a", 1, "x\n1\n")]
+
+
+def test_odd_charts(spark, tmp_path):
+    rows = [("s é", 2, "a,é\n1,\"x\ny\"\n"), ("s é", 2, ""), (None, None, "z\n"), ("t", 1, None)]
+    charts = spark.createDataFrame(rows, "session_id string, seq long, csv string")
+    write_charts(charts, str(tmp_path / "c"))
+    back = sorted((tuple(r) for r in read_charts(spark, str(tmp_path / "c")).collect()), key=repr)
+    assert back == sorted([*rows[:3], ("t", 1, "")], key=repr)
+    write_charts(charts.limit(0), str(tmp_path / "none"))
+    assert read_charts(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_read_transcripts(spark, tmp_path):
@@ -116,6 +167,82 @@ def test_read_transcripts(spark, tmp_path):
     assert json.loads(rows[1].payload) == messages[0]
 
 
+def _expected(text):
+    """Payloads of a file by Python's parser; one null row for a file that is no list."""
+    if not text:
+        return []
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return [None]
+    return found if isinstance(found, list) else [None]
+
+
+def test_transcripts_are_read_in_ranges(spark, tmp_path):
+    """Ranges of a few bytes cut files at every kind of place."""
+    rnd = random.Random(7)
+
+    def value(depth):
+        kind = rnd.randrange(7 if depth else 3)
+        if kind < 3:
+            return rnd.choice(["", 'q"uote', "br}ace{", "back\\slash\\", '\\"', "], [", "é\n😀", ",", 5, -1.5, True])
+        if kind < 5:
+            return [value(depth - 1) for _ in range(rnd.randrange(4))]
+        return {rnd.choice(["a", "b}", 'c"']): value(depth - 1) for _ in range(rnd.randrange(4))}
+
+    texts = {"empty": "[]", "blank": " [ ] \n", "nothing": "", "word": "x", "object": '{"a": [1, 2]}',
+             "cut": '[{"a": 1}, {"b', "more": '[{"a": 1}] {"b": 2}', "two": '[{"a": 1}][{"b": 1}]'}
+    for i in range(12):
+        messages = [{"content": {"parts": [{"text": value(0)}, value(3)]}, "x": value(3)} for _ in range(i)]
+        texts[f"m{i}"] = json.dumps(messages, ensure_ascii=i % 2 == 0, indent=[None, 2][i % 3 == 0])
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("37", "64", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            found = {}
+            for r in read_transcripts(spark, str(tmp_path)).orderBy("session_id", "seq").collect():
+                found.setdefault(r.session_id, []).append((r.seq, r.payload and json.loads(r.payload), r.text))
+            for name, text in texts.items():
+                wanted = _expected(text)
+                assert [p for _, p, _ in found.get(name, [])] == wanted, (name, size)
+                assert [s for s, _, _ in found.get(name, [])] == list(range(len(wanted)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_long_list_is_read_by_several_tasks(spark, tmp_path):
+    message = json.dumps({"content": {"parts": [{"text": "t" * 500}]}})
+    (tmp_path / "big.json").write_text("[" + ", ".join([message] * 20_000) + "]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        assert message_fragments(spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+        rows = read_transcripts(spark, str(tmp_path))
+        assert rows.agg(F.count("text"), F.min("seq"), F.max("seq"), F.count_distinct("seq")).first() == (
+            20_000, 0, 19_999, 20_000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_broken_messages_keep_their_neighbours(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1}, {broken}, {"b": 2}]')
+    rows = read_transcripts(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.payload for r in rows] == ['{"a":1}', None, '{"b":2}']
+
+
+def test_one_response_a_line(spark, tmp_path):
+    lines = [json.dumps([{"content": {"parts": [{"text": f"t{i}"}]}}, {"n": i}]) for i in range(5)]
+    (tmp_path / "a.jsonl").write_text("\n".join([*lines[:2], "", "broken", *lines[2:]]) + "\n")
+    rows = read_transcripts(spark, str(tmp_path), lines=True).orderBy("session_id", "seq").collect()
+    assert [(r.session_id, r.seq, r.text) for r in rows if r.text] == [
+        (f"a#{n}", 0, f"t{i}") for i, n in enumerate((1, 2, 5, 6, 7))]
+    assert [(r.session_id, r.payload) for r in rows if r.payload is None] == [("a#4", None)]
+
+
 def test_equal_file_names_are_different_sessions(spark, tmp_path):
     for folder in ("a", "b"):
         (tmp_path / folder).mkdir()

@@ -7,7 +7,7 @@ import subprocess
 import sys
 
 import pytest
-from conftest import ROOT
+from places import ROOT
 
 from slotledger import fixed_values as fv
 from slotledger.functions.json_tree import first_match, matches
