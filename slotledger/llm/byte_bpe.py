@@ -7,12 +7,19 @@ positions holds the least (rank, position) of each range; a merge changes three
 leaves - the merged part, its left neighbour, and the part that vanished - and
 their ancestors, so a match of m bytes takes O(m log m), however long it is.
 
-Encoded matches are kept per Python worker up to a fixed number. Ranks and
-pattern travel with the query; executors read no files.
+The matches of a batch that are met for the first time are merged together: one row a
+match in arrays of bytes, ids and trees, so a round pops the root of every row and
+updates the logarithm of its size in cells. A pair of ids finds its rank in a sorted table
+of all ways to cut a token into two tokens. Matches of more than ``ROW_BYTES`` bytes have
+a tree of their own.
+
+Encoded matches are kept per Python worker, in two generations of a fixed number each.
+Ranks and pattern travel with the query; executors read no files.
 
 Edge cases: a null text counts as empty; an empty text has no ids and decodes to
 no bytes. Rows are independent: repeated rows and null ids are encoded like any
-others. Lone surrogates cannot occur in a Spark string.
+others. No rows give no rows; columns other than doc_id and text are not read, whatever
+their names. Lone surrogates cannot occur in a Spark string.
 """
 
 from __future__ import annotations
@@ -21,9 +28,10 @@ import base64
 import hashlib
 import sys
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
@@ -36,8 +44,10 @@ from slotledger.llm.workers import kept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE_ENTRIES = 200_000
-CACHED_BYTES = 64  # longer matches are encoded each time
+CACHE_ENTRIES = 100_000  # of each generation
+CHUNK_CHARS = 1 << 20  # of text that is split before its new matches are merged
+ROW_BYTES, ROWS = 64, 1 << 14  # longest match of a row, rows merged together
+ROW_BITS, ID_BITS = 6, 24
 NONE = 1 << 62
 SHIFT = 32
 
@@ -50,7 +60,97 @@ class Vocabulary:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}  # ids of a match, four bytes each
+        # Ids of a match, four bytes each, and as decimals with spaces: newer and older matches.
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self._tables()
+
+    def _tables(self) -> None:
+        """Arrays for merging many matches: ids of bytes, and ranks of pairs of ids."""
+        get = self.ranks.get
+        self.byte_ids = np.array([get(bytes([b]), 0) for b in range(256)], np.int64)
+        pairs = [
+            (left << ID_BITS | right, rank)
+            for token, rank in self.ranks.items()
+            for cut in range(1, len(token))
+            if (left := get(token[:cut])) is not None and (right := get(token[cut:])) is not None
+        ]
+        found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.pair_keys = np.append(found[:, 0], NONE)
+        self.pair_ranks = np.append(found[:, 1], NONE >> ID_BITS)
+        self.whole_bytes = all(bytes([b]) in self.ranks for b in range(256))
+
+    def _pair_values(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Leaves of pairs of ids that start at ``at``; NONE where the pair is no token."""
+        key = left << ID_BITS | right
+        place = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[place] == key, self.pair_ranks[place] << ROW_BITS | at, NONE)
+
+    def merge_rows(self, pieces: list[bytes], size: int) -> list[np.ndarray]:
+        """Ids of matches of 2 to ``size`` bytes; ``size`` is a power of two, ``ROW_BYTES`` at most."""
+        m = len(pieces)
+        n = np.fromiter(map(len, pieces), np.int64, m)
+        padded = b"".join([p.ljust(size, b"\0") for p in pieces])
+        ids = self.byte_ids[np.frombuffer(padded, np.uint8).reshape(m, size)]
+        place = np.arange(size)
+        alive = place < n[:, None]
+        ends = np.broadcast_to(place + 1, (m, size)).copy()
+        before = np.broadcast_to(place - 1, (m, size)).copy()
+        tree = np.full((m, 2 * size), NONE, np.int64)
+        first = self._pair_values(ids[:, :-1], ids[:, 1:], place[:-1])
+        tree[:, size : 2 * size - 1] = np.where(alive[:, 1:], first, NONE)
+        low = size
+        while low > 1:  # a level of the trees from the one below
+            tree[:, low // 2 : low] = np.minimum(tree[:, low : 2 * low : 2], tree[:, low + 1 : 2 * low : 2])
+            low //= 2
+        rows = np.arange(m)
+        while True:
+            root = tree[rows, 1]
+            rows, root = rows[root != NONE], root[root != NONE]
+            if not len(rows):
+                break
+            i = root & (ROW_BYTES - 1)
+            gone = ends[rows, i]
+            after = ends[rows, gone]
+            ids[rows, i] = root >> ROW_BITS
+            ends[rows, i], alive[rows, gone] = after, False
+            more = after < n[rows]
+            before[rows[more], after[more]] = i[more]
+            behind = np.minimum(after, size - 1)
+            value = np.where(more, self._pair_values(ids[rows, i], ids[rows, behind], i), NONE)
+            back = before[rows, i]
+            led = back >= 0
+            prior = np.where(led, back, i)  # without a left neighbour the leaf itself again
+            led_value = np.where(led, self._pair_values(ids[rows, prior], ids[rows, i], prior), value)
+            tree[rows, size + gone] = NONE
+            tree[rows, size + i] = value
+            tree[rows, size + prior] = led_value
+            every, node = np.concatenate([rows, rows, rows]), np.concatenate([gone, i, prior]) + size
+            while node[0] > 1:
+                node = node >> 1
+                tree[every, node] = np.minimum(tree[every, 2 * node], tree[every, 2 * node + 1])
+        return np.split(ids[alive], np.cumsum(alive.sum(axis=1))[:-1])
+
+    def _learn(self, matches: list[str]) -> None:
+        """Put the ids of new matches into the cache."""
+        groups: dict[int, list[tuple[str, bytes]]] = {}
+        for match in matches:
+            piece = match.encode()
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                self._keep(match, [whole])
+            elif len(piece) > ROW_BYTES or not self.whole_bytes:
+                self._keep(match, self.merge(piece))
+            else:
+                groups.setdefault(1 << (len(piece) - 1).bit_length(), []).append((match, piece))
+        for size, members in groups.items():
+            for start in range(0, len(members), ROWS):
+                some = members[start : start + ROWS]
+                for (match, _), ids in zip(some, self.merge_rows([p for _, p in some], size), strict=True):
+                    self._keep(match, ids.tolist())
+
+    def _keep(self, match: str, ids: list[int]) -> None:
+        self.cache[match] = array("I", ids).tobytes(), " ".join(map(str, ids)).encode()
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match."""
@@ -111,18 +211,33 @@ class Vocabulary:
             i = ends[i]
         return out
 
+    def coded(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes]]]:
+        """Ids of each match of each text, as the cache holds them."""
+        start, chars = 0, 0
+        for stop, text in enumerate(texts, 1):
+            chars += len(text)
+            if chars >= CHUNK_CHARS or stop == len(texts):
+                yield from self._coded(texts[start:stop])
+                start, chars = stop, 0
+
+    def _coded(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes]]]:
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache, self.older = {}, self.cache
+        lists = [self.split(text) for text in texts]
+        new = set().union(*lists).difference(self.cache)
+        known = new.intersection(self.older)
+        self.cache.update((match, self.older[match]) for match in known)
+        self._learn(list(new - known))
+        get = self.cache.__getitem__
+        for matches in lists:
+            yield list(map(get, matches))
+
     def encode(self, text: str) -> list[int]:
-        cache, parts = self.cache, []
-        for match in self.split(text):
-            ids = cache.get(match)
-            if ids is None:
-                ids = array("I", self.merge(match.encode())).tobytes()
-                if len(match) <= CACHED_BYTES:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[match] = ids
-            parts.append(ids)
-        return array("I", b"".join(parts)).tolist()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        return [array("I", b"".join([ids for ids, _ in parts])).tolist() for parts in self.coded(texts)]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -144,7 +259,7 @@ def encode(text: Column, tokenizer: Tokenizer) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         vocabulary = tokenizer.vocabulary()
-        ids = [vocabulary.encode(b.decode()) for b in as_bytes(texts)]
+        ids = vocabulary.encode_all([b.decode() for b in as_bytes(texts)])
         return pa.array(ids, pa.list_(pa.int32()))
 
     return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(text)
@@ -177,11 +292,10 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 
     def run(texts: pa.Array) -> pa.Array:
         vocabulary = tokenizer.vocabulary()
-        names = kept("decimals", lambda: [str(i).encode() for i in range(1 << 16)])
         rows = []
-        for blob in as_bytes(texts):
-            ids = vocabulary.encode(blob.decode())
-            written = b" ".join([names[i] if i < 1 << 16 else str(i).encode() for i in ids])
+        for parts in vocabulary.coded([blob.decode() for blob in as_bytes(texts)]):
+            ids = array("I", b"".join([coded for coded, _ in parts]))
+            written = b" ".join([decimals for _, decimals in parts])
             rows.append(
                 (
                     len(ids),

@@ -32,6 +32,34 @@ def test_ids_equal_library(tokenizer, library):
         assert ids == library.encode_ordinary(text) and own.decode(ids) == text.encode()
 
 
+def test_rows_of_many_matches_equal_single_trees(tokenizer, monkeypatch):
+    """Lengths around powers of two, runs of one byte, and a cache that turns over all the time."""
+    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 300)
+    monkeypatch.setattr(byte_bpe, "ROWS", 7)
+    rng, own = random.Random(2), tokenizer.vocabulary()
+    pieces = [bytes(rng.choice(b"abcthein \xc3\xa9\x00") for _ in range(rng.randint(2, 64))) for _ in range(400)]
+    pieces += [bytes([b]) * n for b in b"a \x00\xff" for n in (2, 3, 4, 5, 31, 32, 33, 63, 64)]
+    for size in (2, 4, 8, 16, 32, 64):
+        fit = [p for p in pieces if size // 2 < len(p) <= size]
+        assert [ids.tolist() for ids in own.merge_rows(fit, size)] == [
+            _merged(own.ranks, p) for p in fit]
+    texts = ["".join(rng.choice("abcdefghij 12é") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    assert own.encode_all(texts) == [own.encode(t) for t in texts]
+    assert len(own.cache) < 1000
+
+
+def _merged(ranks, piece):
+    """Merging by its definition: the least rank first, the leftmost among equals."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
 def test_digests_of_all_rows(tokenizer, library, awkward, documents):
     for docs in (awkward, documents):
         found = sorted((tuple(r) for r in byte_bpe.round_trip(docs, tokenizer).collect()), key=repr)
