@@ -9,8 +9,9 @@ be decoded in any order, each also from its checkpoints. ``read_files`` decodes
 them and tells where each document starts in the whole sequence.
 
 White space separates words for this tokenizer family (it is dropped before the
-merges) and case is ignored, so each distinct word is encoded once and kept in a
-cache of fixed size.
+merges) and case is ignored, so each distinct word is encoded once and kept in
+caches of fixed size. Added tokens of the tokenizer file count as such wherever they stand
+in a text, as the library has it.
 
 Edge cases: a null text counts as empty and has the end id only. Null ids come
 first; rows with one id are ordered by the hash of their text and each keep a
@@ -21,6 +22,7 @@ and text are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import sys
@@ -42,7 +44,7 @@ from slotledger.llm.workers import kept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000  # of each generation
 #: Lower-case words of printable ASCII: how this tokenizer family splits them (fixed values).
 PLAIN = re.compile(rb"[!-@\[-~]+").fullmatch
 PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
@@ -59,8 +61,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Between added tokens, what lower case makes look like one is ordinary text.
+        self.tokenizer.encode_special_tokens = True
+        # Added tokens are found in a text as it is, also inside a word; texts are cut there.
+        special = {t["content"].encode(): t["id"] for t in json.loads(content).get("added_tokens", [])}
+        self.special = {text: array("H", [number]).tobytes() for text, number in special.items()}
+        longest_first = sorted(map(re.escape, special), key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(longest_first) + b")").split if special else None
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
         self.splits_plainly = sys.byteorder == "little" and all(
             self._ids(text.decode()) == [t.id for part in PARTS(text) for t in self.tokenizer.model.tokenize(part.decode())]
@@ -88,15 +97,31 @@ class WordEncoder:
 
     def encode(self, blobs: list[bytes]) -> list[bytes]:
         """Ids of each text, two bytes each."""
+        pieces, cut_texts = blobs, {}
+        for at, blob in enumerate(blobs):
+            if self.cut is not None and any(text in blob for text in self.special):
+                cut_texts[at] = self.cut(blob)
+        if cut_texts:
+            pieces = [b if at not in cut_texts else b"" for at, b in enumerate(blobs)]
+        out = self._encode_words(pieces)
+        for at, parts in cut_texts.items():  # text, added token, text, ...
+            coded = self._encode_words(parts[::2])
+            added = [self.special[text] for text in parts[1::2]] + [b""]
+            out[at] = b"".join(x for pair in zip(coded, added, strict=True) for x in pair)
+        return out
+
+    def _encode_words(self, blobs: list[bytes]) -> list[bytes]:
         lists = [blob.lower().split() for blob in blobs]  # the tokenizer ignores case
-        new = list(set().union(*lists).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(set().union(*lists))
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.older = {}, self.cache
+        new = set().union(*lists).difference(self.cache)
+        known = new.intersection(self.older)
+        self.cache.update((word, self.older[word]) for word in known)
+        rest = list(new - known)
         if self.splits_plainly:
-            new = self._learn_plain(new)
-        for start in range(0, len(new), 2048):
-            self._learn(new[start : start + 2048])
+            rest = self._learn_plain(rest)
+        for start in range(0, len(rest), 2048):
+            self._learn(rest[start : start + 2048])
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in lists]
 
@@ -131,38 +156,20 @@ class WordTokenizer:
         return kept(("words", key), lambda: WordEncoder(self.content))
 
 
-def _blocks(tokenizer: WordTokenizer, end_id: int) -> Callable:
+def _encoded(tokenizer: WordTokenizer, end_id: int) -> Callable:
+    """Ids of each text, where the text is read."""
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = tokenizer.encoder(), TaskContext.get().partitionId(), 0
-        ids, sizes, held, total = [], [], [], 0
-
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array([part], pa.int32()),
-                    "block": pa.array([number], pa.int32()),
-                    "doc_ids": pa.array([ids], pa.list_(pa.int64())),
-                    "sizes": pa.array([sizes], pa.list_(pa.int64())),
-                    "n_tokens": pa.array([total], pa.int64()),
-                    "ids": pa.array([b"".join(held)], pa.binary()),
-                }
-            )
-
+        encoder = tokenizer.encoder()
         for batch in batches:
-            blobs, names = as_bytes(batch["text"]), batch["doc_id"].to_pylist()
+            blobs = as_bytes(batch["text"])
             for start, stop in chunks(blobs, 1 << 20):
-                for name, coded in zip(names[start:stop], encoder.encode(blobs[start:stop]), strict=True):
-                    coded += end
-                    ids.append(name), held.append(coded), sizes.append(len(coded) // 2)
-                    total += len(coded) // 2
-                    if total >= BLOCK_TOKENS:
-                        yield block()
-                        number += 1
-                        ids, sizes, held, total = [], [], [], 0
-        if ids:
-            yield block()
+                coded = [ids + end for ids in encoder.encode(blobs[start:stop])]
+                some = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays(
+                    [some["doc_id"], some["h"], pa.array(coded, pa.binary())], names=["doc_id", "h", "ids"]
+                )
 
     return run
 
@@ -171,47 +178,68 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for blob in batch["ids"].to_pylist():
-            counts += np.bincount(np.frombuffer(blob, "<u2"), minlength=1 << 16)
+            ids = np.frombuffer(blob, "<u2")
+            if len(ids) < 1 << 12:
+                np.add.at(counts, ids, 1)
+            else:
+                counts += np.bincount(ids, minlength=1 << 16)
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_pydict({"symbol": pa.array(used, pa.int32()), "n": pa.array(counts[used])})
 
 
-def _code(freq: np.ndarray) -> Callable:
+def _blocks(freq: np.ndarray) -> Callable:
+    """Coded blocks of whole documents, in the order in which they come."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(freq)
+        table, part, number = Table(freq), TaskContext.get().partitionId(), 0
+        names, sizes, held, total = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            coded = encode_block(np.frombuffer(b"".join(held), "<u2"), table)
+            return pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array([part], pa.int32()),
+                    "block": pa.array([number], pa.int32()),
+                    "doc_ids": pa.array([names], pa.list_(pa.int64())),
+                    "sizes": pa.array([sizes], pa.list_(pa.int64())),
+                    "n_tokens": pa.array([total], pa.int64()),
+                    "payload": pa.array([coded], pa.binary()),
+                }
+            )
+
         for batch in batches:
-            for i, blob in enumerate(batch["ids"]):
-                one = batch.slice(i, 1)
-                coded = encode_block(np.frombuffer(blob.as_py(), "<u2"), table)
-                columns = [one[name] for name in ("part", "block", "doc_ids", "sizes", "n_tokens")]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array([coded], pa.binary())],
-                    names=["part", "block", "doc_ids", "sizes", "n_tokens", "payload"],
-                )
+            for name, ids in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+                names.append(name), held.append(ids), sizes.append(len(ids) // 2)
+                total += len(ids) // 2
+                if total >= BLOCK_TOKENS:
+                    yield block()
+                    number += 1
+                    names, sizes, held, total = [], [], [], 0
+        if names:
+            yield block()
 
     return run
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: WordTokenizer, end_id: int = 1) -> None:
-    """Write the file set of ``docs`` (doc_id, text) to ``path``."""
+    """Write the file set of ``docs`` (doc_id, text) to ``path``.
+
+    Texts are encoded where they are read; what is ordered and shuffled is their ids.
+    """
     text = F.col("text").cast("string")
-    order = (F.col("doc_id").asc_nulls_first(), F.col("h"))
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("doc_id", "text")
-    )
-    blocks = written(ordered.mapInArrow(_blocks(tokenizer, end_id), f"{BLOCKS}, ids binary"), "ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    encoded = written(rows.mapInArrow(_encoded(tokenizer, end_id), "doc_id long, h long, ids binary"), "ids")
     counts = np.zeros(1 << 16, np.int64)
-    summed = blocks.select("ids").mapInArrow(_count, "symbol int, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
+    summed = encoded.select("ids").mapInArrow(_count, "symbol int, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
     for row in summed.collect():  # at most 65,536 rows
         counts[row["symbol"]] = row["n"]
     freq = quantise(counts)
     spark = docs.sparkSession
     used = [(int(i), int(freq[i])) for i in np.flatnonzero(freq)]
     spark.createDataFrame(used, "symbol int, freq int").coalesce(1).write.parquet(f"{path}/table")
-    blocks.mapInArrow(_code(freq), f"{BLOCKS}, payload binary").write.parquet(f"{path}/blocks")
+    order = (F.col("doc_id").asc_nulls_first(), F.col("h"))
+    ordered = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    ordered.mapInArrow(_blocks(freq), f"{BLOCKS}, payload binary").write.parquet(f"{path}/blocks")
 
 
 def _decode(freq: np.ndarray, with_ids: bool) -> Callable:

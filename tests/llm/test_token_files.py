@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -35,6 +36,19 @@ def test_read_back_equals_library(awkward, documents, spark, tokenizer, monkeypa
             start += len(ids)
 
 
+def test_added_tokens_and_odd_words_equal_library(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 40)
+    plain, own, rng = Tokenizer.from_file(PATH), tokenizer.encoder(), random.Random(3)
+    words = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "a", "It's", "b2b", "é", "😀", " ", "\n", "|>",
+             "<|", "we'll", "x" * 40, "\u2028", "12"]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    for start in range(0, len(texts), 50):
+        some = texts[start : start + 50]
+        found = own.encode([t.encode() for t in some])
+        for text, ids in zip(some, found, strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def test_null_and_repeated_ids_keep_their_own_places(awkward, tokenizer):
     rows = token_files.written_and_read(awkward, tokenizer).orderBy("start").collect()
     assert len(rows) == awkward.count() and rows[0]["doc_id"] is None and rows[0]["start"] == 0
