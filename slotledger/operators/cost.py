@@ -23,16 +23,15 @@ def expensive_queries(
     )
 
 
-def with_time_travel(table_storage: DataFrame) -> DataFrame:
-    """Tables that hold time-travel bytes."""
-    return table_storage.where(F.col("time_travel_physical_bytes") > 0)
+def has_time_travel() -> Column:
+    return F.col("time_travel_physical_bytes") > 0
 
 
 def time_travel_consumers(table_storage: DataFrame, k: int = 20) -> DataFrame:
     """Tables with the most time-travel storage."""
     kept, total = F.col("time_travel_physical_bytes"), F.col("total_physical_bytes")
     return top(
-        with_time_travel(table_storage),
+        table_storage.where(has_time_travel()),
         k,
         F.desc("time_travel_physical_bytes"),
         F.col("table_schema"),
@@ -86,10 +85,13 @@ def unpartitioned_tables(
     large = table_storage.where(F.col("total_logical_bytes") > min_bytes).select(
         "table_schema", "table_name", "total_logical_bytes"
     )
-    flat = tables.where(~F.col("ddl").like(fv.PARTITION_CLAUSE_PATTERN)).select(
-        "table_schema", "table_name"
-    )
-    return large.join(flat, ["table_schema", "table_name"])
+    return large.join(flat_tables(tables), ["table_schema", "table_name"])
+
+
+def flat_tables(tables: DataFrame) -> DataFrame:
+    """Names of tables whose DDL has no partition clause."""
+    flat = tables.where(~F.col("ddl").like(fv.PARTITION_CLAUSE_PATTERN))
+    return flat.select("table_schema", "table_name")
 
 
 def large_unpartitioned_tables(
@@ -109,14 +111,26 @@ def logically_billed_tables(
     table_storage: DataFrame, schemata_options: DataFrame
 ) -> DataFrame:
     """Stored tables of datasets billed by logical bytes, or with no billing option."""
-    models = schemata_options.where(F.col("option_name") == fv.BILLING_MODEL_OPTION).select(
+    models = billing_models(schemata_options)
+    return table_storage.where(is_stored()).join(models, "table_schema", "left").where(
+        is_billed_logically()
+    )
+
+
+def is_stored() -> Column:
+    return F.col("total_physical_bytes") > 0
+
+
+def billing_models(schemata_options: DataFrame) -> DataFrame:
+    """``table_schema, billing_model`` of the datasets that have the option."""
+    return schemata_options.where(F.col("option_name") == fv.BILLING_MODEL_OPTION).select(
         F.col("schema_name").alias("table_schema"), F.col("option_value").alias("billing_model")
     )
-    stored = table_storage.where(F.col("total_physical_bytes") > 0)
+
+
+def is_billed_logically() -> Column:
     model = F.col("billing_model")
-    return stored.join(models, "table_schema", "left").where(
-        model.isNull() | (model == fv.LOGICAL_BILLING)
-    )
+    return model.isNull() | (model == fv.LOGICAL_BILLING)
 
 
 def storage_compression_model(
@@ -178,6 +192,15 @@ def table_references(jobs: DataFrame, *carry: str) -> DataFrame:
     return jobs.select(*carry, F.inline(names))
 
 
+def used_tables(jobs: DataFrame, as_of: datetime | None, days: int) -> DataFrame:
+    """Names of the tables that jobs of the last ``days`` read, each once."""
+    return (
+        table_references(last_days(jobs, "creation_time", as_of, days))
+        .distinct()
+        .select(F.col("dataset_id").alias("table_schema"), F.col("table_id").alias("table_name"))
+    )
+
+
 def unreferenced_tables(
     table_storage: DataFrame, jobs: DataFrame, as_of: datetime | None, days: int
 ) -> DataFrame:
@@ -186,11 +209,7 @@ def unreferenced_tables(
     References collapse to distinct names on the map side before they are
     shuffled, so a table that most jobs read costs one row per task.
     """
-    used = (
-        table_references(last_days(jobs, "creation_time", as_of, days))
-        .distinct()
-        .select(F.col("dataset_id").alias("table_schema"), F.col("table_id").alias("table_name"))
-    )
+    used = used_tables(jobs, as_of, days)
     stored = table_storage.where(F.col("total_logical_bytes") > 0).select(
         "table_schema", "table_name", "total_logical_bytes"
     )

@@ -37,16 +37,6 @@ def _number(n: Column, limit: int | None = None) -> Column:
     return F.when(n > 0, shown.cast("string"))
 
 
-def _counted(
-    rows: DataFrame, limits: Mapping[str, int], seq: int, area: str, metric: str, text: str
-) -> DataFrame:
-    """Number of rows; a limit lets tasks stop early."""
-    limit = limits.get(metric)
-    some = rows if limit is None else rows.limit(limit)
-    counted = some.agg(F.count(F.lit(1)).alias("n"))
-    return _rows(counted, _finding(seq, area, metric, _number(F.col("n")), text))
-
-
 def recommendation_findings(wh: Warehouse, limits: Mapping[str, int]) -> DataFrame:
     """Active access and partitioning recommendations, from one pass."""
     wanted = {
@@ -64,6 +54,50 @@ def recommendation_findings(wh: Warehouse, limits: Mapping[str, int]) -> DataFra
     )
 
 
+def storage_findings(
+    wh: Warehouse, as_of: datetime | None, limits: Mapping[str, int]
+) -> DataFrame:
+    """Time travel, unused, logically billed and unpartitioned tables, from one read of the storage.
+
+    Tables collapse to a row a name and size with the counts of their rows; what each check
+    joins them with is one row a key, so the joins keep that number of rows and one
+    aggregate reads all four counts.
+    """
+    c = F.col
+    key = ["table_schema", "table_name"]
+    tables = wh.table_storage.groupBy(*key, "total_logical_bytes").agg(
+        F.count_if(cost.has_time_travel()).alias("travelling"),
+        F.count_if(cost.is_stored()).alias("stored"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+    used = cost.used_tables(wh.jobs, as_of, fv.SCAN_UNUSED_DAYS).withColumn("used", F.lit(True))
+    flat = cost.flat_tables(wh.tables).groupBy(*key).agg(F.count(F.lit(1)).alias("flat"))
+    logical = F.count_if(cost.is_billed_logically()).alias("logical")
+    models = cost.billing_models(wh.schemata_options).groupBy("table_schema").agg(logical)
+    joined = tables.join(used, key, "left").join(flat, key, "left").join(models, "table_schema", "left")
+    bytes_ = c("total_logical_bytes")
+    counts = joined.agg(
+        F.sum("travelling").alias("time_travel"),
+        F.count_if((bytes_ > 0) & c("used").isNull()).alias("unused_tables"),
+        # A dataset without the option counts as one that is billed logically.
+        F.sum(c("stored") * F.coalesce("logical", F.lit(1))).alias("storage_model"),
+        F.sum(F.when(bytes_ > 0, c("rows") * F.coalesce("flat", F.lit(0)))).alias("unpartitioned"),
+    )
+    wanted = {
+        "time_travel": (2, "cost", fv.FINDING_TIME_TRAVEL),
+        "unused_tables": (3, "cost", fv.FINDING_UNUSED),
+        "storage_model": (5, "cost", fv.FINDING_STORAGE),
+        "unpartitioned": (11, "performance", fv.FINDING_UNPARTITIONED),
+    }
+    return _rows(
+        counts,
+        *[
+            _finding(seq, area, metric, _number(c(metric), limits.get(metric)), text)
+            for metric, (seq, area, text) in wanted.items()
+        ],
+    )
+
+
 def job_findings(
     jobs: DataFrame, as_of: datetime | None, limits: Mapping[str, int]
 ) -> DataFrame:
@@ -169,25 +203,10 @@ def environment_scan(
     limits = limits or {}
     branches = [
         job_findings(wh.jobs, as_of, limits),
-        _counted(
-            cost.with_time_travel(wh.table_storage),
-            limits, 2, "cost", "time_travel", fv.FINDING_TIME_TRAVEL,
-        ),
-        _counted(
-            cost.unreferenced_tables(wh.table_storage, wh.jobs, as_of, fv.SCAN_UNUSED_DAYS),
-            limits, 3, "cost", "unused_tables", fv.FINDING_UNUSED,
-        ),
-        _counted(
-            cost.logically_billed_tables(wh.table_storage, wh.schemata_options),
-            limits, 5, "cost", "storage_model", fv.FINDING_STORAGE,
-        ),
+        storage_findings(wh, as_of, limits),
         public_finding(wh.datasets),
         recommendation_findings(wh, limits),
         saturation_finding(wh, project_id, as_of),
-        _counted(
-            cost.unpartitioned_tables(wh.table_storage, wh.tables),
-            limits, 11, "performance", "unpartitioned", fv.FINDING_UNPARTITIONED,
-        ),
     ]
     return reduce(DataFrame.unionByName, branches).orderBy("seq")
 

@@ -96,6 +96,8 @@ def test_scan_reads_no_sql_text(spark, stored):
     assert "query:string" not in text
     # Jobs are read for the digest, the references and the last six hours.
     assert len(re.findall(r"FileScan parquet .*/jobs\]", text)) == 3
+    for view in ("table_storage", "tables", "schemata_options", "recommendations", "datasets"):
+        assert len(re.findall(rf"FileScan parquet .*/{view}\]", text)) == 1, view
 
 
 @pytest.mark.parametrize("key, params", [
