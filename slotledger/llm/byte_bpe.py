@@ -78,6 +78,7 @@ class Vocabulary:
         found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         self.pair_keys = np.append(found[:, 0], NONE)
         self.pair_ranks = np.append(found[:, 1], NONE >> ID_BITS)
+        self.names = {rank: str(rank).encode() for rank in self.tokens}
         self.whole_bytes = all(bytes([b]) in self.ranks for b in range(256))
 
     def _pair_values(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -86,8 +87,11 @@ class Vocabulary:
         place = np.searchsorted(self.pair_keys, key)
         return np.where(self.pair_keys[place] == key, self.pair_ranks[place] << ROW_BITS | at, NONE)
 
-    def merge_rows(self, pieces: list[bytes], size: int) -> list[np.ndarray]:
-        """Ids of matches of 2 to ``size`` bytes; ``size`` is a power of two, ``ROW_BYTES`` at most."""
+    def merge_rows(self, pieces: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches of 2 to ``size`` bytes, one after the other, and where each match's end.
+
+        ``size`` is a power of two, ``ROW_BYTES`` at most.
+        """
         m = len(pieces)
         n = np.fromiter(map(len, pieces), np.int64, m)
         padded = b"".join([p.ljust(size, b"\0") for p in pieces])
@@ -129,28 +133,41 @@ class Vocabulary:
             while node[0] > 1:
                 node = node >> 1
                 tree[every, node] = np.minimum(tree[every, 2 * node], tree[every, 2 * node + 1])
-        return np.split(ids[alive], np.cumsum(alive.sum(axis=1))[:-1])
+        return ids[alive], np.cumsum(alive.sum(axis=1))
 
     def _learn(self, matches: list[str]) -> None:
         """Put the ids of new matches into the cache."""
-        groups: dict[int, list[tuple[str, bytes]]] = {}
+        groups: dict[int, tuple[list[str], list[bytes]]] = {}
+        whole, tokens, ranks = self.ranks.get, [], []
         for match in matches:
             piece = match.encode()
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                self._keep(match, [whole])
+            rank = whole(piece)
+            if rank is not None:
+                tokens.append(match)
+                ranks.append(rank)
             elif len(piece) > ROW_BYTES or not self.whole_bytes:
-                self._keep(match, self.merge(piece))
+                ids = self.merge(piece)
+                self._keep([match], np.array(ids, np.int64), [len(ids)])
             else:
-                groups.setdefault(1 << (len(piece) - 1).bit_length(), []).append((match, piece))
-        for size, members in groups.items():
-            for start in range(0, len(members), ROWS):
-                some = members[start : start + ROWS]
-                for (match, _), ids in zip(some, self.merge_rows([p for _, p in some], size), strict=True):
-                    self._keep(match, ids.tolist())
-
-    def _keep(self, match: str, ids: list[int]) -> None:
-        self.cache[match] = array("I", ids).tobytes(), " ".join(map(str, ids)).encode()
+                size = 1 << (len(piece) - 1).bit_length()
+                if size not in groups:
+                    groups[size] = [], []
+                held, pieces = groups[size]
+                held.append(match)
+                pieces.append(piece)
+        self._keep(tokens, np.array(ranks, np.int64), list(range(1, len(ranks) + 1)))
+        for size, (held, pieces) in groups.items():
+            for start in range(0, len(held), ROWS):
+                ids, ends = self.merge_rows(pieces[start : start + ROWS], size)
+                self._keep(held[start : start + ROWS], ids, ends.tolist())
+
+    def _keep(self, matches: list[str], ids: np.ndarray, ends: list[int]) -> None:
+        """Cache the ids of some matches, which stand one after the other."""
+        raw, names, cache, start = ids.astype("<u4").tobytes(), self.names, self.cache, 0
+        decimals = [names[i] for i in ids.tolist()]
+        for match, end in zip(matches, ends, strict=True):
+            cache[match] = raw[4 * start : 4 * end], b" ".join(decimals[start:end])
+            start = end
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match."""

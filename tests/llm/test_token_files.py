@@ -40,7 +40,7 @@ def test_added_tokens_and_odd_words_equal_library(tokenizer, monkeypatch):
     monkeypatch.setattr(token_files, "CACHE_WORDS", 40)
     plain, own, rng = Tokenizer.from_file(PATH), tokenizer.encoder(), random.Random(3)
     words = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "a", "It's", "b2b", "é", "😀", " ", "\n", "|>",
-             "<|", "we'll", "x" * 40, "\u2028", "12"]
+             "<|", "we'll", "x" * 40, "é,", "été", "l'Été", "ß÷ø", "ÿ1", "e\u0301", "\xa0é", "\u2028", "12"]
     texts = ["".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randint(0, 25))) for _ in range(600)]
     for start in range(0, len(texts), 50):
         some = texts[start : start + 50]
