@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotledger import fixed_values as fv
-from slotledger.functions.clock import last_days, utc_date
+from slotledger.functions.clock import last_days, utc_date, utc_hour
 from slotledger.functions.measures import gib, ratio, slot_hours
 from slotledger.functions.topk import top
 
@@ -54,17 +54,18 @@ def daily_mean(total: Column, days: Column, unit: int, times: int = 1) -> Column
     return F.round(F.try_divide(total * F.lit(float(times)), days * F.lit(float(unit))), 2)
 
 
-def forecast_monthly_costs(
-    jobs: DataFrame, as_of: datetime | None = None, days: int = 30
-) -> DataFrame:
-    """Monthly projection from the mean of the days that have jobs (one row)."""
-    daily = (
-        last_days(jobs, "creation_time", as_of, days)
-        .groupBy(utc_date(F.col("creation_time")).alias("usage_date"))
-        .agg(
-            F.sum("total_slot_ms").alias("slot_ms"),
-            F.sum("total_bytes_billed").alias("billed"),
-        )
+def usage_by_hour(jobs: DataFrame) -> DataFrame:
+    """``usage_date, hour_of_day, slot_ms, billed``: sums that add up over any set of jobs."""
+    time = F.col("creation_time")
+    return jobs.groupBy(utc_date(time).alias("usage_date"), utc_hour(time).alias("hour_of_day")).agg(
+        F.sum("total_slot_ms").alias("slot_ms"), F.sum("total_bytes_billed").alias("billed")
+    )
+
+
+def forecast_of(usage: DataFrame, days: int) -> DataFrame:
+    """Projection from sums with a ``usage_date``."""
+    daily = usage.groupBy("usage_date").agg(
+        F.sum("slot_ms").alias("slot_ms"), F.sum("billed").alias("billed")
     )
     slots = (F.sum("slot_ms"), F.count("slot_ms"), fv.MS_PER_HOUR)
     billed = (F.sum("billed"), F.count("billed"), fv.BYTES_PER_TIB)
@@ -78,6 +79,19 @@ def forecast_monthly_costs(
     )
 
 
+def forecast_monthly_costs(
+    jobs: DataFrame, as_of: datetime | None = None, days: int = 30
+) -> DataFrame:
+    """Monthly projection from the mean of the days that have jobs (one row)."""
+    recent = last_days(jobs, "creation_time", as_of, days)
+    usage = recent.select(
+        utc_date(F.col("creation_time")).alias("usage_date"),
+        F.col("total_slot_ms").alias("slot_ms"),
+        F.col("total_bytes_billed").alias("billed"),
+    )
+    return forecast_of(usage, days)
+
+
 def unpartitioned_tables(
     table_storage: DataFrame, tables: DataFrame, min_bytes: int = 0
 ) -> DataFrame:
@@ -194,11 +208,22 @@ def table_references(jobs: DataFrame, *carry: str) -> DataFrame:
 
 def used_tables(jobs: DataFrame, as_of: datetime | None, days: int) -> DataFrame:
     """Names of the tables that jobs of the last ``days`` read, each once."""
-    return (
-        table_references(last_days(jobs, "creation_time", as_of, days))
-        .distinct()
-        .select(F.col("dataset_id").alias("table_schema"), F.col("table_id").alias("table_name"))
+    return names_of(table_references(last_days(jobs, "creation_time", as_of, days)))
+
+
+def names_of(references: DataFrame) -> DataFrame:
+    """The tables of some references, each once."""
+    return references.select(
+        F.col("dataset_id").alias("table_schema"), F.col("table_id").alias("table_name")
+    ).distinct()
+
+
+def stored_but_not(table_storage: DataFrame, used: DataFrame) -> DataFrame:
+    """Non-empty tables that are not among the ``used`` ones."""
+    stored = table_storage.where(F.col("total_logical_bytes") > 0).select(
+        "table_schema", "table_name", "total_logical_bytes"
     )
+    return stored.join(used, ["table_schema", "table_name"], "left_anti").distinct()
 
 
 def unreferenced_tables(
@@ -209,11 +234,13 @@ def unreferenced_tables(
     References collapse to distinct names on the map side before they are
     shuffled, so a table that most jobs read costs one row per task.
     """
-    used = used_tables(jobs, as_of, days)
-    stored = table_storage.where(F.col("total_logical_bytes") > 0).select(
-        "table_schema", "table_name", "total_logical_bytes"
+    return stored_but_not(table_storage, used_tables(jobs, as_of, days))
+
+
+def largest_tables(found: DataFrame, k: int | None) -> DataFrame:
+    return top(
+        found, k, F.desc("total_logical_bytes"), F.col("table_schema"), F.col("table_name")
     )
-    return stored.join(used, ["table_schema", "table_name"], "left_anti").distinct()
 
 
 def unused_tables(
@@ -224,10 +251,4 @@ def unused_tables(
     k: int = 50,
 ) -> DataFrame:
     """Largest tables not read for ``days_inactive`` days."""
-    return top(
-        unreferenced_tables(table_storage, jobs, as_of, days_inactive),
-        k,
-        F.desc("total_logical_bytes"),
-        F.col("table_schema"),
-        F.col("table_name"),
-    )
+    return largest_tables(unreferenced_tables(table_storage, jobs, as_of, days_inactive), k)

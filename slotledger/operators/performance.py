@@ -22,41 +22,61 @@ from slotledger.functions.topk import top
 from slotledger.operators.cost import table_references
 
 
+def errors_by_reason(jobs: DataFrame) -> DataFrame:
+    """``reason, error_count`` of failed jobs."""
+    return (
+        jobs.where(F.col("error_result").isNotNull())
+        .groupBy(F.col("error_result.reason").alias("reason"))
+        .agg(F.count(F.lit(1)).alias("error_count"))
+    )
+
+
+def most_frequent_errors(counted: DataFrame, k: int | None) -> DataFrame:
+    return top(counted, k, F.desc("error_count"), F.col("reason"))
+
+
 def common_query_errors(
     jobs: DataFrame, as_of: datetime | None = None, days: int = 30, k: int = 10
 ) -> DataFrame:
     """Most frequent error reasons."""
-    counted = (
-        last_days(jobs, "creation_time", as_of, days)
-        .where(F.col("error_result").isNotNull())
-        .groupBy(F.col("error_result.reason").alias("reason"))
-        .agg(F.count(F.lit(1)).alias("error_count"))
+    return most_frequent_errors(errors_by_reason(last_days(jobs, "creation_time", as_of, days)), k)
+
+
+def hourly_slots(usage: DataFrame) -> DataFrame:
+    """Slot hours by hour of day, busiest first, of sums with an ``hour_of_day``."""
+    hourly = usage.groupBy("hour_of_day").agg(
+        slot_hours(F.sum("slot_ms")).alias("total_slot_hours")
     )
-    return top(counted, k, F.desc("error_count"), F.col("reason"))
+    return top(hourly, None, F.desc("total_slot_hours"), F.col("hour_of_day"))
 
 
 def hourly_slot_consumption(
     jobs: DataFrame, as_of: datetime | None = None, days: int = 30
 ) -> DataFrame:
     """Slot hours by hour of day, busiest first."""
-    hourly = (
-        last_days(jobs, "creation_time", as_of, days)
-        .groupBy(utc_hour(F.col("creation_time")).alias("hour_of_day"))
-        .agg(slot_hours(F.sum("total_slot_ms")).alias("total_slot_hours"))
+    recent = last_days(jobs, "creation_time", as_of, days)
+    hour = utc_hour(F.col("creation_time")).alias("hour_of_day")
+    return hourly_slots(recent.select(hour, F.col("total_slot_ms").alias("slot_ms")))
+
+
+def reference_counts(jobs: DataFrame) -> DataFrame:
+    """``table_id, dataset_id, query_count`` of the tables that jobs read."""
+    return (
+        table_references(jobs)
+        .groupBy("table_id", "dataset_id")
+        .agg(F.count(F.lit(1)).alias("query_count"))
     )
-    return top(hourly, None, F.desc("total_slot_hours"), F.col("hour_of_day"))
+
+
+def most_read_tables(counted: DataFrame, k: int | None) -> DataFrame:
+    return top(counted, k, F.desc("query_count"), F.col("table_id"), F.col("dataset_id"))
 
 
 def frequent_tables(
     jobs: DataFrame, as_of: datetime | None = None, days: int = 30, k: int = 20
 ) -> DataFrame:
     """Tables referenced most often."""
-    counted = (
-        table_references(last_days(jobs, "creation_time", as_of, days))
-        .groupBy("table_id", "dataset_id")
-        .agg(F.count(F.lit(1)).alias("query_count"))
-    )
-    return top(counted, k, F.desc("query_count"), F.col("table_id"), F.col("dataset_id"))
+    return most_read_tables(reference_counts(last_days(jobs, "creation_time", as_of, days)), k)
 
 
 def slot_limit(
