@@ -2,27 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from slotledger.sources.folders import new_path, shared_folder
 
-SETTING = "spark.checkpoint.dir"
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder of our own."""
-    folder = spark.conf.get(SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="slotledger-"))
-    return _own[0]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+__all__ = ["new_path", "shared_folder", "written"]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
