@@ -40,9 +40,11 @@ from slotledger.llm.word_ids import (
     Numbers,
     batch,
     buckets_for,
+    expanded,
     renumbered,
     shard_ids,
     shards_of,
+    squeezed,
 )
 from slotledger.llm.words import as_bytes, grams, mix
 
@@ -85,7 +87,7 @@ def _shards(buckets: int) -> Callable:
             del blobs, docs
             counts = np.zeros(numbers.size, np.int64)
             for sequence in _slices(sequences):
-                body = {"shard": [shard], "n_words": [numbers.size], "sequence": [sequence.tobytes()]}
+                body = {"shard": [shard], "n_words": [numbers.size], "sequence": [squeezed(sequence + 1)]}
                 yield batch(_SHARDS, {name: pa.array(v, _SHARDS.field(name).type) for name, v in body.items()})
                 counts += np.bincount(sequence[sequence >= 0], minlength=numbers.size)
             for vocabulary in numbers.packed(shard, counts, buckets):
@@ -106,9 +108,9 @@ def _slices(sequences: list[np.ndarray]) -> Iterator[np.ndarray]:
 
 def _with_ids(row: dict, ids: np.ndarray) -> Iterable[pa.RecordBatch]:
     """The sequence in ids of the dictionary, -1 also for words that have none."""
-    numbers = np.frombuffer(row["sequence"], np.int32)
+    numbers = expanded(row["sequence"]) - 1
     out = np.append(ids, -1)[numbers].astype(np.int32)  # number -1 is the last place
-    yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], schema=_IDS)
+    yield pa.RecordBatch.from_arrays([pa.array([squeezed(out + 1)], pa.binary())], schema=_IDS)
 
 
 def _runs(words: np.ndarray, k: int) -> np.ndarray:
@@ -156,7 +158,7 @@ def _counted(k: int, bits: int, range_bits: int, known):
         held, size = [], 0
         for one in batches:
             for blob in one["ids"]:
-                words = np.frombuffer(blob.as_py(), np.int32)
+                words = (expanded(blob.as_py()) - 1).astype(np.int32)
                 starts = _runs(words, k)
                 if shorter is not None and len(starts):
                     may = shorter.has(words)
