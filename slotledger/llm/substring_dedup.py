@@ -10,12 +10,19 @@ of such windows are the maximal repeats. Words that a removed window covers go.
 
 Before the shuffle each task keeps only the first occurrence of a window among
 its own, so however often a passage occurs, a task sends it once. A window is
-told apart by the 64 bits of its seed's hash together with 48 bits of its own.
+told apart by the 64 bits of its seed's hash together with 48 bits of its own,
+compared in full.
+
+A hot seed (a phrase of 6 to 19 words in very many documents, each time with other
+neighbours) does not gather its windows. A task that sees it often sends its windows
+by their own hash, and its name to the seed's bucket; there, and where a bucket
+outgrows its bound, all windows of the seed are passed on by their own hash. They meet
+in a second round, in which equal windows are still together.
 
 Edge cases: a null or empty text has no words; fewer words than the length are
 never removed. Null ids come after all others. Rows with one id are ordered by
-the CRC of their text; rows equal in id and text do not remove each other and
-get equal results, unless a passage is repeated within them. Columns other than
+the CRC of their text; rows equal in id and text count once, do not remove each
+other and get equal results, unless a passage is repeated within them. Columns other than
 id and text are not read.
 """
 
@@ -49,11 +56,17 @@ class Settings:
     seed: int = 6  # words of a seed; at most 16 seeds to a window
     flush_windows: int = 1 << 19  # windows a map task holds
     bucket_windows: int = 1 << 19  # windows that meet in one task, about
+    hot_runs: int = 64  # occurrences of a seed among a task's windows from which it is hot
+    bucket_bound: int = 1 << 22  # windows a bucket holds; beyond, its largest seeds go on
 
 
 #: A seed occurrence: hash, document, place of the seed, and which windows it brings
 #: (bit o: the window that starts o words before the seed).
 RUN = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("mask", "<u2")])
+#: What a row brings: runs of windows; runs with removed windows; windows of hot seeds,
+#: placed by their own hash; hot seeds.
+RUNS, HITS, SINGLE, HOT = range(4)
+SENT = "bucket long, kind int, runs binary, own binary"
 HIT = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("mask", "<u2")])
 
 
@@ -84,22 +97,30 @@ def _keys(seed: np.ndarray, own: np.ndarray) -> np.ndarray:
     return mix(seed ^ ((own >> np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _not_first(keys: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Which rows have an equal key at an earlier place (``order``: most significant first)."""
-    later = np.zeros(len(keys), bool)
+def _not_first(
+    seed: np.ndarray, own: np.ndarray, order: tuple[np.ndarray, ...]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows occur at an earlier place too (``order``: most significant first), and
+    which come again from the same place."""
+    keys, own = _keys(seed, own), own >> np.uint64(16)
+    later, again = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     by_key = np.argsort(keys, kind="stable")
     same = keys[by_key][1:] == keys[by_key][:-1]
     shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     few = by_key[shared]
     if not len(few):
-        return later
+        return later, again
+    # Equal mixed keys only bring windows together: both hashes decide.
+    rank = np.lexsort((*(c[few] for c in order[::-1]), own[few], seed[few]))
+    few = few[rank]
     columns = [c[few] for c in order]
-    rank = np.lexsort((*columns[::-1], keys[few]))
-    few, columns = few[rank], [c[rank] for c in columns]
-    head = np.concatenate([[True], keys[few][1:] != keys[few][:-1]])
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    differ = (seed[few][1:] != seed[few][:-1]) | (own[few][1:] != own[few][:-1])
+    first = np.flatnonzero(np.concatenate([[True], differ]))
+    first = first[np.cumsum(np.concatenate([[True], differ])) - 1]
     later[few] = np.any([c != c[first] for c in columns], axis=0)
-    return later
+    moved = differ | np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    again[few[1:]] = ~moved
+    return later, again
 
 
 def _packed(doc, crc, start, offset, seed, own, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -120,51 +141,94 @@ def _packed(doc, crc, start, offset, seed, own, kind) -> tuple[np.ndarray, np.nd
     return runs, np.ascontiguousarray(six)
 
 
-def _batch(buckets: list[int], hit: bool, runs: list[bytes], own: list[bytes]) -> pa.RecordBatch:
+def _batch(kind: int, buckets: list[int], runs: list[bytes], own: list[bytes] | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
         {
             "bucket": pa.array(buckets, pa.int64()),
-            "hit": pa.array([hit] * len(buckets)),
+            "kind": pa.array([kind] * len(buckets), pa.int32()),
             "runs": pa.array(runs, pa.binary()),
-            "own": pa.array(own, pa.binary()),
+            "own": pa.array(own or [b""] * len(buckets), pa.binary()),
         }
     )
 
 
+def _place(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(hashes) % np.uint64(buckets)).astype(np.int64)
+
+
+def _sizes(runs: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(runs["mask"]).astype(np.int64)
+
+
+def _dealt(kind: int, place: np.ndarray, runs: np.ndarray, six: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs and the hashes of their windows, a row a bucket."""
+    if not len(runs):
+        return
+    sizes = _sizes(runs)
+    order = np.argsort(place, kind="stable")
+    # Hashes follow their runs into the bucket.
+    begin = (np.cumsum(sizes) - sizes)[order]
+    size = sizes[order]
+    ends = np.cumsum(size)
+    index = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
+    six, runs, place = six[index], runs[order], place[order]
+    heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    stops = np.append(heads[1:], len(place)).astype(np.int64)
+    upto = np.concatenate([[0], ends])
+    for i in range(0, len(heads), 1024):
+        pairs = list(zip(heads[i : i + 1024], stops[i : i + 1024], strict=True))
+        yield _batch(
+            kind, [int(place[a]) for a, _ in pairs],
+            [runs[a:b].tobytes() for a, b in pairs],
+            [six[upto[a] : upto[b]].tobytes() for a, b in pairs],
+        )
+
+
+def _own(six: np.ndarray) -> np.ndarray:
+    """Hashes of windows (48 bits, above 16 zeros)."""
+    own = np.zeros((len(six), 8), np.uint8)
+    own[:, 2:] = six
+    return own.reshape(-1).view("<u8")
+
+
+def _windows(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The run of each window and its offset; windows of a run come with falling offset: starts rise."""
+    bits = (runs["mask"][:, None] >> np.arange(15, -1, -1, dtype=np.uint16)) & 1
+    which, column = np.nonzero(bits)
+    return which, 15 - column
+
+
+def _singles(runs: np.ndarray, six: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each window as a run of its own, placed by its own hash."""
+    which, offset = _windows(runs)
+    each = runs[which]
+    each["mask"] = np.left_shift(1, offset).astype(np.uint16)
+    yield from _dealt(SINGLE, _place(_keys(each["seed"], _own(six)), buckets), each, six)
+
+
 def _seeds(cut: Settings, buckets: int) -> Callable:
     def send(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         doc, crc, start, offset, seed, own = map(np.concatenate, zip(*held, strict=True))
-        later = _not_first(_keys(seed, own), (doc, crc, start))
-        if later.any():
-            hits, _ = _packed(*(x[later] for x in (doc, crc, start, offset, seed, own)), HIT)
+        later, again = _not_first(seed, own, (doc, crc, start))
+        lost = later & ~again
+        if lost.any():
+            hits, _ = _packed(*(x[lost] for x in (doc, crc, start, offset, seed, own)), HIT)
             parts = [hits[i : i + 8192] for i in range(0, len(hits), 8192)]
-            yield _batch(
-                [int(mix(p["doc"][:1].astype(np.uint64))[0] % np.uint64(buckets)) for p in parts],
-                True, [p.tobytes() for p in parts], [b""] * len(parts),
-            )
-        rest = ~later
+            places = [int(_place(p["doc"][:1].astype(np.uint64), buckets)[0]) for p in parts]
+            yield _batch(HITS, places, [p.tobytes() for p in parts])
+        rest = ~(later | again)
         runs, six = _packed(*(x[rest] for x in (doc, crc, start, offset, seed, own)), RUN)
-        place = (mix(runs["seed"]) % np.uint64(buckets)).astype(np.int64)
-        sizes = np.bitwise_count(runs["mask"]).astype(np.int64)
+        sizes = _sizes(runs)
         if sizes.sum() != len(six):
             raise ValueError(f"runs of {sizes.sum()} windows have {len(six)} hashes")
-        order = np.argsort(place, kind="stable")
-        # Hashes follow their runs into the bucket.
-        begin = (np.cumsum(sizes) - sizes)[order]
-        size = sizes[order]
-        ends = np.cumsum(size)
-        index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
-        six, runs, place = six[index], runs[order], place[order]
-        heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
-        stops = np.append(heads[1:], len(place)).astype(np.int64)
-        upto = np.concatenate([[0], ends])
-        for i in range(0, len(heads), 1024):
-            pairs = list(zip(heads[i : i + 1024], stops[i : i + 1024], strict=True))
-            yield _batch(
-                [int(place[a]) for a, _ in pairs], False,
-                [runs[a:b].tobytes() for a, b in pairs],
-                [six[upto[a] : upto[b]].tobytes() for a, b in pairs],
-            )
+        names, times = np.unique(runs["seed"], return_counts=True)
+        names = names[times >= cut.hot_runs]
+        if len(names):
+            hot = np.isin(runs["seed"], names)
+            yield _batch(HOT, _place(names, buckets).tolist(), [n.tobytes() for n in names])
+            yield from _singles(runs[hot], six[np.repeat(hot, sizes)], buckets)
+            runs, six = runs[~hot], six[np.repeat(~hot, sizes)]
+        yield from _dealt(RUNS, _place(runs["seed"], buckets), runs, six)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -186,45 +250,13 @@ def _seeds(cut: Settings, buckets: int) -> Callable:
     return run
 
 
-def _hit_batch(hits: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(
-        {
-            "doc": pa.array(hits["doc"]),
-            "crc": pa.array(hits["crc"].astype(np.int64)),
-            "at": pa.array(hits["at"].astype(np.int64)),
-            "mask": pa.array(hits["mask"].astype(np.int32)),
-        }
-    )
-
-
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seed occurrences with the windows they lose, of one bucket."""
-    held, hashes = [], []
-    for batch in batches:
-        for hit, runs, own in zip(*(batch[n].to_pylist() for n in ("hit", "runs", "own")), strict=True):
-            if hit:
-                yield _hit_batch(np.frombuffer(runs, HIT))
-            else:
-                held.append(np.frombuffer(runs, RUN))
-                hashes.append(np.frombuffer(own, np.uint8).reshape(-1, 6))
-    if not held:
-        return
-    runs = np.concatenate(held)
-    sizes = np.bitwise_count(runs["mask"]).astype(np.int64)
-    own = np.zeros((int(sizes.sum()), 8), np.uint8)
-    own[:, 2:] = np.concatenate(hashes)
-    own = own.reshape(-1).view("<u8")
-    del held, hashes
-    # Windows of a run come with falling offset: their starts rise.
-    bits = (runs["mask"][:, None] >> np.arange(15, -1, -1, dtype=np.uint16)) & 1
-    which, column = np.nonzero(bits)
-    offset = 15 - column
+def _removed(runs: np.ndarray, six: np.ndarray) -> np.ndarray:
+    """Seed occurrences with the windows they lose, among those that meet."""
+    which, offset = _windows(runs)
     each = runs[which]
-    later = _not_first(
-        _keys(each["seed"], own), (each["doc"], each["crc"], each["at"].astype(np.int64) - offset)
+    later, _ = _not_first(
+        each["seed"], _own(six), (each["doc"], each["crc"], each["at"].astype(np.int64) - offset)
     )
-    if not later.any():
-        return
     mask = np.zeros(len(runs), np.uint16)
     np.bitwise_or.at(mask, which[later], np.left_shift(1, offset[later]).astype(np.uint16))
     some = mask > 0
@@ -232,8 +264,88 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for name in ("doc", "crc", "at"):
         hits[name] = runs[name][some]
     hits["mask"] = mask[some]
-    for i in range(0, len(hits), 1 << 16):
-        yield _hit_batch(hits[i : i + (1 << 16)])
+    return hits
+
+
+def _parts(hits: np.ndarray) -> Iterator[np.ndarray]:
+    return (hits[i : i + (1 << 16)] for i in range(0, len(hits), 1 << 16))
+
+
+def _meet_seeds(cut: Settings, buckets: int) -> Callable:
+    """First round: windows of one seed meet; those of hot seeds go on to meet by their own hash."""
+
+    def largest(runs: np.ndarray) -> np.ndarray:
+        """The largest seeds that leave half of the bound when they go."""
+        names, at = np.unique(runs["seed"], return_inverse=True)
+        windows = np.bincount(at, _sizes(runs), len(names))
+        order = np.argsort(-windows, kind="stable")
+        left = windows.sum() - np.cumsum(windows[order])
+        return names[order[: int(np.argmax(left <= cut.bucket_bound / 2)) + 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hashes, size = [], [], 0
+        hot = np.empty(0, np.uint64)
+        place = 0
+
+        def settle(full: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, hashes, size, hot
+            runs, six = np.concatenate(held), np.concatenate(hashes)
+            sizes = _sizes(runs)
+            gone = np.isin(runs["seed"], hot)
+            if not full and sizes[~gone].sum() > cut.bucket_bound / 2:
+                hot = np.union1d(hot, largest(runs[~gone]))
+                gone = np.isin(runs["seed"], hot)
+            yield from _singles(runs[gone], six[np.repeat(gone, sizes)], buckets)
+            held, hashes = [runs[~gone]], [six[np.repeat(~gone, sizes)]]
+            size = len(hashes[0])
+
+        for batch in batches:
+            through = np.isin(batch["kind"].to_numpy(), (HITS, SINGLE))
+            if through.any():
+                yield batch.filter(pa.array(through))
+                batch = batch.filter(pa.array(~through))
+            rows = zip(*(batch[n].to_pylist() for n in ("bucket", "kind", "runs", "own")), strict=True)
+            for place, kind, runs, own in rows:
+                if kind == HOT:
+                    hot = np.union1d(hot, np.frombuffer(runs, np.uint64))
+                else:
+                    held.append(np.frombuffer(runs, RUN))
+                    hashes.append(np.frombuffer(own, np.uint8).reshape(-1, 6))
+                    size += len(hashes[-1])
+                if size > cut.bucket_bound:
+                    yield from settle(full=False)
+        if held:
+            yield from settle(full=True)
+            for hits in _parts(_removed(held[0], hashes[0])):
+                yield _batch(HITS, [place], [hits.tobytes()])
+
+    return run
+
+
+def _meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second round: all seed occurrences that lose windows, in rows of their own."""
+
+    def unpacked(hits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {
+                "doc": pa.array(hits["doc"]),
+                "crc": pa.array(hits["crc"].astype(np.int64)),
+                "at": pa.array(hits["at"].astype(np.int64)),
+                "mask": pa.array(hits["mask"].astype(np.int32)),
+            }
+        )
+
+    held, hashes = [], []
+    for batch in batches:
+        for kind, runs, own in zip(*(batch[n].to_pylist() for n in ("kind", "runs", "own")), strict=True):
+            if kind == HITS:
+                yield unpacked(np.frombuffer(runs, HIT))
+            else:
+                held.append(np.frombuffer(runs, RUN))
+                hashes.append(np.frombuffer(own, np.uint8).reshape(-1, 6))
+    if held:
+        for hits in _parts(_removed(np.concatenate(held), np.concatenate(hashes))):
+            yield unpacked(hits)
 
 
 def covered(n: int, at: np.ndarray, mask: np.ndarray, length: int) -> np.ndarray:
@@ -291,13 +403,19 @@ def repeated_windows(docs: DataFrame, settings: Settings | None = None) -> DataF
     size = source.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(8, int(size / 7 // cut.bucket_windows) + 1)
     hits = (
-        source.mapInArrow(_seeds(cut, buckets), "bucket long, hit boolean, runs binary, own binary")
+        source.mapInArrow(_seeds(cut, buckets), SENT)
+        .groupBy("bucket")
+        .applyInArrow(_meet_seeds(cut, buckets), SENT)
         .groupBy("bucket")
-        .applyInArrow(_repeats, "doc long, crc long, at long, mask int")
+        .applyInArrow(_meet_windows, "doc long, crc long, at long, mask int")
     )
-    return hits.groupBy("doc", "crc").agg(
-        F.collect_list("at").alias("at"), F.collect_list("mask").alias("mask")
-    )  # as many entries as the text has seeds, at most twice
+    # A set: rows equal in id and text bring equal entries. It grows with one text's seeds.
+    packed = F.collect_set(F.shiftleft("at", 16).bitwiseOR(F.col("mask").cast("long")))
+    return hits.groupBy("doc", "crc").agg(packed.alias("hits")).select(
+        "doc", "crc",
+        F.transform("hits", lambda h: F.shiftright(h, 16)).alias("at"),
+        F.transform("hits", lambda h: h.bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("mask"),
+    )
 
 
 def remove_repeats(
