@@ -145,7 +145,7 @@ def _counted(k: int, bits: int, range_bits: int, known):
 
     def summary(held: list[np.ndarray]) -> pa.RecordBatch:
         keys, counts = summed(np.concatenate(held))
-        made = list(filters(keys, counts, range_bits))
+        made = list(filters(keys, counts, range_bits, packing))
         return pa.RecordBatch.from_pydict(
             {
                 "part": pa.array([part for part, _ in made], pa.int32()),
@@ -179,7 +179,7 @@ def _frequent(k: int, bits: int, range_bits: int, least: int):
     packing = Packing(k, bits)
 
     def run(group: pa.Table) -> pa.Table:
-        keys, counts = merged(group["filter"].to_pylist(), group["part"][0].as_py(), range_bits)
+        keys, counts = merged(group["filter"].to_pylist(), group["part"][0].as_py(), range_bits, packing)
         often = counts >= least
         words = packing.gather(keys[often]).astype(np.int32)
         ends = np.arange(len(words) + 1, dtype=np.int32) * k

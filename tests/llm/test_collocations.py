@@ -88,23 +88,35 @@ def test_filters_hold_every_count(k, bits, range_bits):
         starts = np.arange(len(words) - k + 1)
         wanted.update(tuple(words[i : i + k].tolist()) for i in starts)
         keys, counts = quotient_filter.summed(packing.scatter(words, starts))
-        for part, blob in quotient_filter.filters(keys, counts, range_bits):
+        for part, blob in quotient_filter.filters(keys, counts, range_bits, packing):
             shards[part].append(blob)
     found = Counter()
     for part, blobs in shards.items():
-        keys, counts = quotient_filter.merged(blobs, part, range_bits)
+        keys, counts = quotient_filter.merged(blobs, part, range_bits, packing)
         for gram, n in zip(packing.gather(keys).tolist(), counts.tolist(), strict=True):
             found[tuple(gram)] = n
     assert found == wanted
     assert max(wanted.values()) > 255
 
 
-def test_filters_are_compact():
+@pytest.mark.parametrize("k, bytes_a_gram", [(2, 5), (5, 11)])
+def test_filters_are_compact(k, bytes_a_gram):
     words = np.random.default_rng(1).integers(0, 1 << 16, 200_000)
-    keys, counts = quotient_filter.summed(quotient_filter.Packing(2, 16).scatter(words, np.arange(len(words) - 1)))
-    assert sum(len(b) for _, b in quotient_filter.filters(keys, counts, 4)) < 8 * len(keys)
+    packing = quotient_filter.Packing(k, 16)
+    keys, counts = quotient_filter.summed(packing.scatter(words, np.arange(len(words) - k + 1)))
+    size = sum(len(b) for _, b in quotient_filter.filters(keys, counts, 4, packing))
+    assert size < bytes_a_gram * len(keys)
 
 
-def test_permutation_is_a_bijection():
-    x = np.random.default_rng(2).integers(0, 1 << 63, 1000).astype(np.uint64)
-    assert (quotient_filter.unmix(quotient_filter.mix(x)) == x).all()
+@pytest.mark.parametrize("width", [1, 2, 3, 15, 16, 34, 63, 64])
+def test_permutation_is_a_bijection(width):
+    x = np.arange(1 << width) if width < 17 else np.random.default_rng(2).integers(0, 1 << width - 1, 1000)
+    x = x.astype(np.uint64)
+    y = quotient_filter.permuted(x, width)
+    assert (quotient_filter.restored(y, width) == x).all()
+    assert (y >> np.uint64(width - 1)).max() <= 1 and len(np.unique(y)) == len(np.unique(x))
+
+
+def test_neighbouring_numbers_spread_over_the_ranges():
+    parts = quotient_filter.permuted(np.arange(1 << 14, dtype=np.uint64), 34) >> np.uint64(26)
+    assert np.bincount(parts.astype(int), minlength=256).max() < 2 * (1 << 14) / 256
