@@ -148,7 +148,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosine of ``q`` with each row, row by row, so equal rows get equal values."""
+    """Cosine of ``q`` with each row, row by row, so equal rows get equal values.
+
+    Both are scaled by powers of two, which changes no digit and keeps squares in range.
+    """
+    q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     dots = (x * q).sum(axis=1)
     return dots / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 

@@ -71,3 +71,12 @@ def test_leaves_are_visited_from_the_nearest_on():
     assert tree.leaves > 10
     order = list(tree.visit(x[0]))
     assert sorted(order) == list(range(tree.leaves)) and order[0] == tree.place(x[:1])[0]
+
+
+def test_cosines_of_very_large_and_very_small_vectors():
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=16), rng.normal(size=(50, 16))
+    plain = (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+    assert (vector_search.cosines(q, x) == plain).all()
+    for a, b in ((1e200, 1e200), (1e-200, 1e-200), (1e300, 1e-300)):
+        assert np.allclose(vector_search.cosines(q * a, x * b), plain, rtol=0, atol=1e-12)
