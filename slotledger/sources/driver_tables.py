@@ -392,9 +392,11 @@ def driver_streams(spark: SparkSession, sf_dir: str, ended: str) -> tuple[DataFr
     """``jobs`` and ``jobs_timeline`` as streams of the whole ``events``.
 
     The last event comes from the folder ``ended``: one at the end of ``write_end``'s time.
+    ``events.parquet`` may be one file or a folder: a stream of a plain path takes it as the
+    base of partitions, which must be a folder, so the path is named by a glob of itself.
     """
     reader = spark.readStream.schema(_READ["events"])
-    events = reader.parquet(f"{sf_dir}/events.parquet").unionByName(reader.parquet(ended))
+    events = reader.parquet(f"{sf_dir}/{{events.parquet}}").unionByName(reader.parquet(ended))
     t = _Tables(spark, sf_dir, {"events": events})
     return _jobs(t), _jobs_timeline(t)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -107,3 +108,21 @@ def test_state_holds_minutes_not_rows(spark, frame, tmp_path):
     query.awaitTermination()
     rows = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
     assert rows and max(rows) <= 2
+
+
+def test_registered_stream_reads_events_kept_in_one_file(spark):
+    """The test folders hold ``events.parquet`` as one file: the stream must read it and end
+    with the minutes of its checking SQL."""
+    import compare
+    from places import SF_DIR
+
+    import __spark_entry__ as contract
+
+    assert Path(SF_DIR, "events.parquet").is_file()
+    df = contract.queries()["slot_saturation_stream"](spark, SF_DIR)
+    con = compare.connect(SF_DIR)
+    names, rows = compare.spark_rows(df)
+    wanted_names, wanted = compare.sql_rows(con, contract.oracle_sql()["slot_saturation_stream"])
+    assert names == wanted_names
+    assert rows == wanted
+    assert rows
