@@ -53,3 +53,20 @@ def test_rows_outside_the_sample_have_short_paths():
     far = np.array([[2.0, 2.0, 2.0]])
     forest = quality_rules.grow_forest(x, np.array([[-1.0] * 3, [2.0] * 3]))
     assert forest.path_lengths(far)[0] < np.quantile(forest.path_lengths(x), 0.01)
+
+
+def test_every_labelled_row_takes_part(spark):
+    """The one bad row has the largest hash of 20,101 ids: a sample of 20,000 left it out."""
+    from pyspark.sql import functions as F
+
+    n = 20_101
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    bad = ids.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).desc()).first()[0]
+    clean = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(29)), lambda j: F.concat(F.lit("w"), j.cast("string"))))
+    junk = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(29)), lambda j: F.concat(F.lit("#X"), j.cast("string"))))
+    docs = ids.select("doc_id", F.when(F.col("doc_id") == bad, junk).otherwise(clean).alias("text"))
+    labels = ids.select("doc_id", F.when(F.col("doc_id") == bad, 0).otherwise(1).alias("quality"))
+    rules = quality_rules.fit_rules(docs, labels)
+    assert rules.threshold is not None
+    (row,) = quality_rules.judge(docs.where(F.col("doc_id") == bad), rules).collect()
+    assert not row["base_failed"] and not row["kept"]
