@@ -37,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,12 +45,14 @@ from pyspark.sql import functions as F
 from slotledger.llm.filters import maybe_in
 from slotledger.llm.graph import components
 from slotledger.llm.scratch import written
-from slotledger.llm.words import Words, as_bytes, chunks, grams, mix
+from slotledger.llm.words import Words, as_bytes, grams, mix
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COUNTERS = 1 << 20
 BLOCK = 1 << 12
+#: UTF-8 bytes of texts that a Python worker holds as words at once.
+PIECE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -69,6 +72,22 @@ class Settings:
 # ---------------------------------------------------------------- sets of texts
 
 
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of consecutive texts of at most ``PIECE_BYTES`` (or one text), with their bytes.
+
+    Only one range at a time becomes Python objects, not the whole Arrow batch.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    start, size = 0, 0
+    for at, n in enumerate(sizes):
+        if size and size + n > PIECE_BYTES:
+            yield start, at, as_bytes(texts[start:at])
+            start, size = at, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes), as_bytes(texts[start:])
+
+
 def shingle_sets(blobs: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, text of each, size of each text's set."""
     words = Words(blobs, lower=True)
@@ -120,9 +139,8 @@ def _shapes(n: int) -> Callable:
         counters = np.zeros(COUNTERS, np.int64)
         used = False
         for batch in batches:
-            blobs = as_bytes(batch["text"])
-            for start, end in chunks(blobs):
-                hashes, _, sizes = shingle_sets(blobs[start:end], n)
+            for start, end, blobs in _pieces(batch["text"]):
+                hashes, _, sizes = shingle_sets(blobs, n)
                 counters += np.bincount(hashes & np.uint64(COUNTERS - 1), minlength=COUNTERS)
                 used = True
                 stops = np.cumsum(sizes)
@@ -267,9 +285,8 @@ def _entries(cut: Settings, levels: np.ndarray, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            blobs = as_bytes(batch["text"])
-            for start, end in chunks(blobs):
-                held.append(prefix_entries(blobs[start:end], cut, levels))
+            for _, _, blobs in _pieces(batch["text"]):
+                held.append(prefix_entries(blobs, cut, levels))
                 size += len(held[-1])
                 if size >= cut.flush_entries:
                     yield from pack(held)
@@ -626,9 +643,8 @@ def _large(members: DataFrame, sets: DataFrame, cut: Settings) -> DataFrame:
 def _sets_of(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = as_bytes(batch["text"])
-            for start, end in chunks(blobs):
-                hashes, _, sizes = shingle_sets(blobs[start:end], n)
+            for start, end, blobs in _pieces(batch["text"]):
+                hashes, _, sizes = shingle_sets(blobs, n)
                 stops = np.cumsum(sizes)
                 keys = set_keys(hashes, sizes)
                 yield pa.RecordBatch.from_pydict(

@@ -109,3 +109,26 @@ def test_graph_components(spark):
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     labels = {r["node"]: r["component"] for r in found}
     assert labels == {**{i: 1 for i in (1, 2, 3, 7, 8, 9)}, 20: 20, 21: 20, **{100 + i: 100 for i in range(50)}}
+
+
+def test_texts_become_python_objects_a_piece_at_a_time(monkeypatch):
+    """A worker holds about PIECE_BYTES of texts as Python bytes, not a whole Arrow batch."""
+    import pyarrow as pa
+
+    held = []
+
+    def recorded(texts):
+        found = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+        held.append(sum(map(len, found)))
+        return found
+
+    monkeypatch.setattr(ngram_join, "as_bytes", recorded)
+    text = " ".join(f"w{i}" for i in range(ngram_join.PIECE_BYTES // 16))
+    n = 8
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(range(n), pa.int64()), "address": [str(i) for i in range(n)],
+        "tie": pa.array([0] * n, pa.int64()), "text": [text] * (n - 1) + [None]})
+    rows = [r for b in ngram_join._shapes(5)(iter([batch])) for r in b.to_pylist() if r["block"] is None]
+    assert [r["doc_id"] for r in rows] == list(range(n))
+    assert len({r["key"] for r in rows[:-1]}) == 1 and rows[-1]["n"] == 0
+    assert held and max(held) <= ngram_join.PIECE_BYTES
