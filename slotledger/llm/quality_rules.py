@@ -38,6 +38,8 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
+#: UTF-8 bytes of texts that a Python worker holds as words at once.
+PIECE_BYTES = 1 << 20
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Counts that only the forest uses.
@@ -87,7 +89,7 @@ def _repeat_words(keys: np.ndarray, words: Words) -> np.ndarray:
 def count_texts(blobs: list[bytes]) -> np.ndarray:
     """Statistics of each text, a row for each, in the order of ``STATISTICS``."""
     out = np.zeros((len(blobs), len(STATISTICS)), np.int64)
-    for start, end in chunks(blobs):
+    for start, end in chunks(blobs, PIECE_BYTES):
         part = blobs[start:end]
         words = Words(part)
         sizes = np.fromiter(map(len, part), np.int64, len(part))

@@ -70,3 +70,17 @@ def test_every_labelled_row_takes_part(spark):
     assert rules.threshold is not None
     (row,) = quality_rules.judge(docs.where(F.col("doc_id") == bad), rules).collect()
     assert not row["base_failed"] and not row["kept"]
+
+
+def test_texts_are_split_into_words_a_piece_at_a_time(monkeypatch):
+    """A worker holds the words of about PIECE_BYTES of texts at once, with the same counts."""
+    from slotledger.llm import quality_rules as q
+
+    text = " ".join(f"w{i % 5000}" for i in range(q.PIECE_BYTES // 16)).encode()
+    blobs = [text] * 6 + [b""]
+    whole = q.count_texts(blobs)
+    held = []
+    real = q.Words
+    monkeypatch.setattr(q, "Words", lambda part, *a: held.append(sum(map(len, part))) or real(part, *a))
+    assert (q.count_texts(blobs) == whole).all() and (whole[:-1] == whole[0]).all()
+    assert held and max(held) <= q.PIECE_BYTES
