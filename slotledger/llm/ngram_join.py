@@ -46,6 +46,7 @@ from slotledger.llm.filters import maybe_in
 from slotledger.llm.graph import components
 from slotledger.llm.scratch import written
 from slotledger.llm.words import Words, as_bytes, grams, mix
+from slotledger.llm.workers import release
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -174,6 +175,8 @@ def _shapes(n: int) -> Callable:
                     "block": pa.array(np.arange(m, dtype=np.int32)),
                 }
             )
+        counters = blocks = None
+        release()
 
     return run
 
@@ -293,6 +296,7 @@ def _entries(cut: Settings, levels: np.ndarray, buckets: int) -> Callable:
                     held, size = [], 0
         if size:
             yield from pack(held)
+        release()
 
     return run
 
@@ -657,6 +661,7 @@ def _sets_of(n: int) -> Callable:
                         ),
                     }
                 )
+        release()
 
     return run
 
