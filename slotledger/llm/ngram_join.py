@@ -271,19 +271,28 @@ def _rank(keys: np.ndarray) -> np.ndarray:
 
 def _entries(cut: Settings, levels: np.ndarray, buckets: int) -> Callable:
     def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        entries, edges = _combine(np.concatenate(held), cut.local_run)
+        """Rows of the entries in ``held``, which it empties: a copy at a time is kept while sent."""
+        entries = np.concatenate(held)
+        held.clear()
+        entries, edges = _combine(entries, cut.local_run)
         place = (mix(entries["s"]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         starts, lengths = _runs(place[order])
         blobs = [entries[order[a : a + k]].tobytes() for a, k in zip(starts, lengths, strict=True)]
         rows = {"bucket": place[order][starts], "sure": np.zeros(len(starts), bool)}
-        yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in rows.items()} | {"blob": blobs})
+        del entries, place, order
+        batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in rows.items()} | {"blob": blobs})
+        del blobs, rows
+        yield batch
+        del batch
         if len(edges):
             spread = [edges[i : i + 4096] for i in range(0, len(edges), 4096)]
             where = [int(_rank(e["x"][:1])[0] % buckets) for e in spread]
             yield pa.RecordBatch.from_pydict(
                 {"bucket": pa.array(where, pa.int64()), "sure": [True] * len(spread), "blob": [e.tobytes() for e in spread]}
             )
+        del edges
+        release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -296,7 +305,6 @@ def _entries(cut: Settings, levels: np.ndarray, buckets: int) -> Callable:
                     held, size = [], 0
         if size:
             yield from pack(held)
-        release()
 
     return run
 
